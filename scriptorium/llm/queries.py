@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe
+from scriptorium.llm import bpe, mixing, near_dups, splitter
 from scriptorium.plans.session import table
 
 
@@ -12,6 +12,48 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.found(table(spark, sf_dir, "chunks"))
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.records(table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitter.found(table(spark, sf_dir, "documents_norm"))
+
+
+def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitter.chunk_rows(table(spark, sf_dir, "documents_norm"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return rows.where("short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.select(table(spark, sf_dir, "documents"), targets), targets)
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_records": p3_records,
+    "p5_found": p5_found,
+    "p5_chunks": p5_chunks,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
 }
