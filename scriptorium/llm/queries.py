@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, mixing, near_dups, splitter
+from scriptorium.llm import bpe, history, knn, mixing, near_dups, qa_defects, splitter
 from scriptorium.plans.session import table
 
 
@@ -12,6 +12,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.found(table(spark, sf_dir, "documents_norm"), table(spark, sf_dir, "chunks"))
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.repeated_chunks(table(spark, sf_dir, "chunks"))
+    return rows.select("chunk_row", rows.similarity.cast("decimal(9,6)").cast("double").alias("similarity"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa_defects.found(table(spark, sf_dir, "golden_qa"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.found(table(spark, sf_dir, "chunks"))
 
@@ -20,6 +33,14 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.records(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.found(table(spark, sf_dir, "chunk_vectors"))
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.neighbours(table(spark, sf_dir, "chunk_vectors"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitter.found(table(spark, sf_dir, "documents_norm"))
 
@@ -47,8 +68,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_matches": p1_matches,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_chunks": p5_chunks,
     "p6_ids": p6_ids,
