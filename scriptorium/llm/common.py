@@ -9,6 +9,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words are runs of letters and digits (of any script), compared in lower case.
 WORD = re.compile(r"[^\W_]+")
@@ -89,3 +91,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def bounded_sample(rows: DataFrame, key: str, bound: int) -> tuple[DataFrame, int]:
+    """``(at most bound rows, number of rows)``: the rows whose key has the smallest hashes.
+
+    Rows far from the smallest hashes are left out first, so that no task sends more than its share.
+    """
+    count = rows.count()
+    share = min(1.0, 2.0 * bound / max(count, 1))
+    draw = F.xxhash64(key, F.lit("sample"))
+    if share < 1.0:
+        rows = rows.where(F.shiftrightunsigned(draw, 1) < F.lit(int(share * (2**63 - 1))))
+    return rows.orderBy(draw, key).limit(bound), count

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import bounded_sample
 from scriptorium.plans.session import materialize
 
 NEAREST, CLOSE, WIDTH = 5, 0.12, 64
@@ -259,8 +260,8 @@ class VectorNeighbours:
         kept = self.rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= self.k + 1)
         kept = materialize(kept, "entries")
         entries = kept.where("place = 1").select("id", "vector")
-        n = entries.count()
-        sample = entries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+        sample, n = bounded_sample(entries, "id", SAMPLE_ROWS)
+        sample = sample.toArrow()
         router, parts = learn(_matrix(sample.column("vector")), n) if n else (None, 0)
         if not n:
             return self.rows.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe
-from scriptorium.llm.common import WORD
+from scriptorium.llm.common import WORD, bounded_sample
 
 #: Width of the classifier's hashed word table, and labelled rows it is fitted on at most.
 WIDTH = 1 << 13
@@ -81,9 +81,7 @@ def measure(documents: DataFrame, targets: list[tuple[str, float, int]], vocabul
     spark = documents.sparkSession
     sources = tuple(s for s, _, _ in targets)
     labelled = documents.where(F.col("source").isin(list(sources)) & F.col("text").isNotNull())
-    sample = (
-        labelled.select("source", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_ROWS).collect() if sources else []
-    )
+    sample = bounded_sample(labelled, "doc_id", SAMPLE_ROWS)[0].select("source", "text").collect() if sources else []
     model = fit_sources([(r.source, r.text) for r in sample], sources)
     shared = spark.sparkContext.broadcast((vocabulary or bpe.read_vocabulary(), model))
 
