@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, history, knn, mixing, near_dups, qa_defects, splitter
+from scriptorium.llm import bpe, history, knn, mixing, near_dups, pii, qa_defects, splitter
 from scriptorium.plans.session import table
 
 
@@ -67,6 +67,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.select(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_matches": p1_matches,
@@ -82,4 +90,6 @@ QUERIES = {
     "p7_report": p7_report,
     "p7_selection": p7_selection,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
