@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +60,8 @@ def fit_sources(rows: list[tuple[str, str | None]], sources: tuple[str, ...]) ->
     counts = np.full((WIDTH, len(sources)), 0.5)
     seen = np.ones(len(sources))
     sizes = []
+    if not sources:
+        return SourceModel(sources, np.zeros((WIDTH, 0), np.float32), np.zeros(0))
     for source, text in rows:
         if source in place:
             found = slots(text)
@@ -127,13 +128,13 @@ def cell_totals(measured: DataFrame, n_sources: int) -> DataFrame:
 
 def fit_rates(expected: np.ndarray, cap: np.ndarray, target: np.ndarray, steps: int = 4_000) -> np.ndarray:
     """Rates in ``[0, cap]`` that bring ``rates @ expected`` nearest to ``target`` (least squares in
-    shares), by projected gradient descent with momentum from the cell-wise best start."""
+    shares), by projected gradient descent with momentum."""
     scale = max(float(target.sum()), 1.0)
     matrix, goal = expected / scale, target / scale
     sizes = np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)
     unit, limit = matrix / sizes[:, None], cap * sizes
     step = 1.0 / max(float(np.linalg.norm(unit, 2)) ** 2, 1e-12)
-    x = np.minimum(limit, np.maximum(unit @ goal, 0.0) * 0.0)
+    x = np.zeros(len(limit))
     look, t = x.copy(), 1.0
     for _ in range(steps):
         new = np.clip(look - step * (unit @ (look @ unit - goal)), 0.0, limit)
@@ -237,8 +238,3 @@ def shares(selection: DataFrame, mix_targets: DataFrame) -> DataFrame:
     wanted = mix_targets.select("source", "target_share")
     joined = wanted.join(by, "source", "full_outer").crossJoin(F.broadcast(whole))  # one row
     return joined.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.nullif("whole", F.lit(0))).alias("actual_share"), "most_copies")
-
-
-def entropy(weights: list[float]) -> float:
-    """Bits of a share list, a spread figure for reports."""
-    return -sum(w * log2(w) for w in weights if w > 0)
