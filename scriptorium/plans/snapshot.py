@@ -112,7 +112,7 @@ def load_manifest(spark: SparkSession, root: str, strategy: str) -> Manifest | N
     fs, target, _ = _file_system(spark, manifest_path(root, strategy))
     if not fs.exists(target):
         return None
-    text = spark.read.option("wholetext", "true").text(manifest_path(root, strategy)).first()[0]
+    text = spark.read.text(manifest_path(root, strategy), wholetext=True).first()[0]
     try:
         values = json.loads(text)
         if values.get("schema_version") != SCHEMA_VERSION:

@@ -102,5 +102,5 @@ def extractive_answer(evidence: Column) -> Column:
 
 def lexical_verdict(claim: Column, evidence: Column) -> Column:
     """Deterministic citation judge: by the share of the claim's tokens that the evidence holds."""
-    share = overlap_score(claim, evidence)
+    share = overlap_score(F.regexp_replace(claim, r"\[[0-9]+\]", " "), evidence)
     return F.when(share >= 0.8, "supported").when(share >= 0.4, "partially_supported").otherwise("unsupported")

@@ -94,7 +94,7 @@ def discover(files: DataFrame) -> DataFrame:
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases of a JSON-lines file in its line order (``line``): blank lines are passed over; bad
     JSON, lines that are no object, unknown keys and repeated ids are errors that name the line."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     lines = lines.select((F.col("line") + 1).alias("line"), F.trim(F.regexp_replace("value", "\r$", "")).alias("value")).where("value <> ''")
     fields = [f.name for f in GOLDEN]
     rows = lines.select("line", F.from_json("value", GOLDEN).alias("c"), F.json_object_keys("value").alias("keys"), F.try_parse_json("value").alias("v"))
