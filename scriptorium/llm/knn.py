@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.vectors import cosine
 from scriptorium.llm.common import bounded_sample
 from scriptorium.plans.session import materialize
 
@@ -287,7 +288,13 @@ def found(vectors: DataFrame) -> DataFrame:
 
 
 def neighbours(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, neighbour, rank, distance)`` of the queries: every vector whose id is divisible by 100."""
-    near = VectorNeighbours(vectors).neighbours().where("id % 100 = 0")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return near.select(F.col("id").alias("vec_id"), "neighbour", rank.alias("rank"), F.round("distance", 6).alias("distance"))
+    """``(vec_id, neighbour, rank, distance)`` of the queries: every vector whose id is divisible by 100.
+    Distances are worked out anew from the vectors as they are stored."""
+    operator = VectorNeighbours(vectors)
+    near = operator.neighbours().where("id % 100 = 0").select("id", "neighbour", F.col("distance").alias("near"))
+    exact = operator.rows.select("id", F.col("vector").cast("array<double>").alias("v"))
+    near = near.join(exact, "id").join(exact.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour")
+    distance = F.when(F.col("near") == 0, 0.0).otherwise(1 - cosine(F.col("v"), F.col("w")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "neighbour"))
+    near = near.select("id", "neighbour", distance.alias("distance"))
+    return near.select(F.col("id").alias("vec_id"), "neighbour", rank.alias("rank"), (F.round("distance", 6) + 0.0).alias("distance"))
