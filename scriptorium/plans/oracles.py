@@ -13,7 +13,8 @@ def strip(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_transform(regexp_extract_all({x}, '{TOKEN}'), lambda w: lower(w))"
+    """Lower-case tokens; a capital I with a dot becomes an i and a combining dot, as Unicode has it."""
+    return f"list_transform(regexp_extract_all({x}, '{TOKEN}'), lambda w: lower(replace(w, chr(304), 'i' || chr(775))))"
 
 
 def strategy(x: str) -> str:
