@@ -325,3 +325,21 @@ def test_settings_are_checked():
     for bad in ({"chunk_overlap": 1000}, {"rerank_top_k": 30}, {"rrf_dense_weight": 0.0, "rrf_sparse_weight": 0.0}, {"confidence_threshold": 2.0}, {"chunk_strategy": "x"}, {"embedding_model": " "}):
         with pytest.raises(SettingsError):
             Settings(**bad)
+
+
+def test_command_line(spark, tmp_path):
+    from scriptorium import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Alpha\nThe alpha service keeps backups for nine days.\n\n## Beta\nBeta is read only.")
+    (tmp_path / "in" / "b.txt").write_text("Gamma restarts every night.")
+    root = f"file://{tmp_path}/index"
+    assert cli.main(["index", str(tmp_path / "in"), root], spark).chunks_after == 3
+    for channel in ("sparse", "dense", "hybrid", "reranked"):
+        assert cli.main(["query", root, channel, "alpha backups"], spark).count() >= 1
+    assert cli.main(["query", root, "sparse", "gamma night"], spark).first().rank == 1
+    assert cli.main(["ask", root, "gamma restarts"], spark).count() == 1
+    assert cli.main(["chunk-stats", str(tmp_path / "in")], spark).count() == 3
+    golden = tmp_path / "g.jsonl"
+    golden.write_text('{"id": "a", "question_type": "direct_factual", "answerability": "answerable"}\n')
+    assert cli.main(["golden-summary", str(golden)], spark).where("n > 0").count() == 3
