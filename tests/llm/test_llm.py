@@ -72,6 +72,14 @@ def test_history_second_pass(spark, monkeypatch):
     assert few == {r.chunk_row for r in history.repeated_chunks(frame(spark, rows)).collect()}
 
 
+def test_history_with_spread_axes(spark, monkeypatch):
+    monkeypatch.setattr(history, "_spread", lambda rank: 1 + rank.astype(np.int64) % 5)
+    rows = made_chunks(1)
+    few = {r.chunk_row for r in history.repeated_chunks(frame(spark, rows)).collect()}
+    monkeypatch.undo()
+    assert few == {r.chunk_row for r in history.repeated_chunks(frame(spark, rows)).collect()}
+
+
 def test_deliveries_compare_by_hex(spark):
     a, b = "ab" * 32, "cd" * 32
     rows = [(1, a, 0), (2, "sha256:" + a.upper(), 1), (3, None, 1), (4, b, 2), (5, b, 2), (6, "short", 3), (7, a, None)]
