@@ -15,7 +15,7 @@ from scriptorium.operators import corpus as D
 from scriptorium.operators import evaluation as E
 from scriptorium.operators import retrieval as R
 from scriptorium.plans import snapshot as S
-from scriptorium.plans.session import materialize, table
+from scriptorium.plans.session import materialize, spread, table
 from scriptorium.streaming.ingest import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,7 @@ def made_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents_norm").select("delivery_id", F.posexplode("segments").alias("segment_index", "s"))
+    rows = spread(table(spark, d, "documents_norm").select("delivery_id", "segments")).select("delivery_id", F.posexplode("segments").alias("segment_index", "s"))
     return rows.select("delivery_id", "segment_index", F.col("s.text").alias("text"), F.col("s.section_heading").alias("section_heading"), F.col("s.page_number").alias("page_number"))
 
 
@@ -119,7 +119,7 @@ def digest(parts: Column) -> Column:
 
 
 def tokenize_docs(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t")).where("t is not null")
+    rows = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", X.tokenize(F.col("text")).alias("t")).where("t is not null")
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), digest(F.col("t")).alias("digest"))
 
 
@@ -195,7 +195,7 @@ def chunk_table_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_recursive(s: SparkSession, d: str) -> DataFrame:
-    documents = table(s, d, "documents_norm").select(F.col("delivery_id").cast("string").alias("document_id"), "source_file", "segments")
+    documents = spread(table(s, d, "documents_norm").select(F.col("delivery_id").cast("string").alias("document_id"), "source_file", "segments"))
     return C.chunk_documents(documents, strategy="recursive").select("chunk_id", "document_id", "chunk_index", "character_count", "section_heading", "page_number")
 
 

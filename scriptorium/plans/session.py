@@ -90,6 +90,16 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where their source has too few parts for that (one small file, say).
+
+    Sources with at least half as many parts as there are cores are left as they are, so on large
+    inputs no shuffle is added.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
