@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.plans.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 #: White_Space of Unicode, spelt out: the regex engines at hand differ in what \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -200,5 +202,5 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: bytes | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["k", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return rows.mapInArrow(encode, f"k {kind}, ids array<int>").withColumnRenamed("k", key)

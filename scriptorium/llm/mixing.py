@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe
 from scriptorium.llm.common import WORD, bounded_sample
+from scriptorium.plans.session import spread
 
 #: Width of the classifier's hashed word table, and labelled rows it is fitted on at most.
 WIDTH = 1 << 13
@@ -111,7 +112,7 @@ def measure(documents: DataFrame, targets: list[tuple[str, float, int]], vocabul
                 names=["doc_id", "source", "tokens", "cell", "membership"],
             )
 
-    return documents.select("doc_id", "source", "text").mapInArrow(
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(
         run, "doc_id bigint, source string, tokens bigint, cell string, membership array<double>"
     )
 
