@@ -11,8 +11,10 @@ distinct shingle of a batch and records take minima over their shingles.
 
 Sizes: document frequencies come from a count sketch of fixed size; band rows are ``BANDS`` for
 each record; in a bucket every record is paired with its few neighbours in two orders and with the
-first record, so pairs grow linearly with the rows, however hot a bucket is. Identical texts share
-one node from the start, so a text that makes up a third of all rows counts once.
+first record, so these pairs grow linearly with the rows, however hot a bucket is. The pairs that
+this leaves out of large buckets are looked for exactly, between records that are not in one group
+yet, by a join on their rarest shingles. Identical texts share one node from the start, so a text
+that makes up a third of all rows counts once.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ WIDTH = 1 << 16
 FLOOR = 0.15
 #: Records of a bucket that each of its records is paired with, in each of two orders.
 NEIGHBOURS = 6
+#: Records of a shingle that one key of the exact join holds on either side.
+HOT = 1_000
 SLICE = 4_000
 
 
@@ -188,17 +192,23 @@ def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame
     return nodes.mapInArrow(run, "band bigint, node bigint, other float")
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)`` with a < b: each record of a bucket with its neighbours in two orders and
-    with the first record. Buckets of one record are dropped before the second order is made; a
-    bucket of up to ``NEIGHBOURS + 1`` records gives all its pairs."""
+def neighbours(bands: DataFrame) -> DataFrame:
+    """``(node, near, crowd)``: the records that each record of a bucket is paired with, its neighbours
+    in two orders and the first record; ``crowd`` is the band of a bucket that leaves pairs out.
+    Buckets of one record are dropped before the second order is made; a bucket of up to
+    ``NEIGHBOURS + 1`` records gives all its pairs, the others are left to ``crowded``."""
     whole, by_node = Window.partitionBy("band"), Window.partitionBy("band").orderBy("node")
     by_other = Window.partitionBy("band").orderBy("other", "node")
     near = [F.first("node").over(by_node), *(F.lag("node", i).over(by_node) for i in range(1, NEIGHBOURS + 1))]
     rows = bands.select("band", "node", "other", F.array(*near).alias("near"), F.count("*").over(whole).alias("n")).where("n > 1")
     again = F.array(*(F.lag("node", i).over(by_other) for i in range(1, NEIGHBOURS + 1)))
-    again = F.when(F.col("n") > NEIGHBOURS + 1, again)
-    rows = rows.select("node", F.concat("near", F.coalesce(again, F.array().cast("array<bigint>"))).alias("near"))
+    crowd = F.col("n") > NEIGHBOURS + 1
+    again = F.when(crowd, again)
+    return rows.select("node", F.concat("near", F.coalesce(again, F.array().cast("array<bigint>"))).alias("near"), F.when(crowd, F.col("band")).alias("crowd"))
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` with a < b of ``neighbours``."""
     pairs = rows.select("node", F.explode("near").alias("b")).where("b is not null and b <> node")
     return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
@@ -243,6 +253,56 @@ def verified(pairs: DataFrame, packed: DataFrame, at_least: float = ALIKE) -> Da
     return joined.select("a", "b", "ca", "cb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+# -- the exact pass over crowded buckets ---------------------------------------------------------
+
+
+def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """``(code, id, root, size, place)`` of ``rows (id, root, codes)``: the rarest shingles of each
+    record, so many that two records alike by ``ALIKE`` share at least one of them."""
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches):
+        for batch in slices(batches, SLICE):
+            codes = [np.frombuffer(c, np.uint64) for c in batch.column(2).to_pylist()]
+            sizes = np.array([len(c) for c in codes], np.int64)
+            flat, record = np.concatenate([np.empty(0, np.uint64), *codes]), np.repeat(np.arange(len(codes)), sizes)
+            first, second = _slots(flat)
+            flat = flat[np.lexsort((flat, np.minimum(shared.value[first], shared.value[second]), record))]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = place <= sizes[record] - np.ceil(ALIKE * sizes[record] - 1e-9)
+            flat, record, place = flat[keep], record[keep], place[keep]
+            take = pa.array(record)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[record].astype(np.int32)), pa.array(place.astype(np.int32))],
+                names=["code", "id", "root", "size", "place"],
+            )
+
+    return rows.select("id", "root", "codes").mapInArrow(run, "code bigint, id bigint, root bigint, size int, place int")
+
+
+def crowded_pairs(crowds: DataFrame, packed: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """Distinct ``(a, b)`` with a < b of ``crowds (crowd, id, root)`` that can be alike and have
+    different roots: an exact join on the rarest shingles of all records of buckets that hold more
+    than one group. Records that share a hot shingle are cut in parts; each pair of parts is a key."""
+    mixed = crowds.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("crowd")
+    ids = crowds.join(mixed, "crowd", "left_semi").select("id", "root").distinct()
+    rows = materialize(prefixes(packed.join(ids, "id"), sketch), "prefixes")
+    # a shingle of one group pairs nothing
+    hot = rows.groupBy("code").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = rows.join(hot.select("code", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "code")
+    own, others = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+
+    def side(x: str, mine: str, other: str) -> DataFrame:
+        names = [F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "size", "place")]
+        return rows.select("code", *names, own.alias(mine), F.explode(others).alias(other))
+
+    pairs = side("a", "p", "q").join(side("b", "q", "p"), ["code", "p", "q"])
+    # alike records share this much; of the first shared shingle on, no more than what follows is shared
+    least = F.expr(f"(size_a + size_b) * {ALIKE / (1 + ALIKE)} - 1e-6")
+    pairs = pairs.where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (F.expr("least(size_a - place_a, size_b - place_b)") >= least))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 # -- the operator -------------------------------------------------------------------------------
 
 
@@ -265,16 +325,24 @@ class NearDuplicates:
         return self.rows.select("id", "node").join(heads, "node")
 
     def links(self) -> DataFrame:
-        """``(a, b, similarity)`` of representatives, verified."""
+        """``(a, b, similarity)`` of representatives, verified: the neighbours in all buckets, then all
+        pairs across groups of the records of buckets that are too large for neighbours to be all."""
         sketch, documents = frequency_sketch(self.rows.select("text"))
-        pairs = candidate_pairs(band_rows(self.rows.select("node", "text"), sketch, documents))
+        near = materialize(neighbours(band_rows(self.rows.select("node", "text"), sketch, documents)), "neighbours")
+        pairs = candidate_pairs(near)
         heads = self.rows.groupBy("node").agg(F.min("id").alias("rep"))
         named = pairs.join(heads.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a")
         named = named.join(heads.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
         pairs = materialize(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         packed = materialize(packed_shingles(self.rows.join(wanted, "id", "left_semi").select("id", "text")), "shingles")
-        return materialize(verified(pairs, packed), "links")
+        links = materialize(verified(pairs, packed), "links")
+        crowds = near.where("crowd is not null").select("crowd", "node").distinct()
+        if crowds.isEmpty():
+            return links
+        crowds = crowds.join(heads, "node").select("crowd", F.col("rep").alias("id"))
+        crowds = crowds.join(components.labels(links.select("a", "b")), "id", "left").select("crowd", "id", F.coalesce("root", "id").alias("root"))
+        return links.union(materialize(verified(crowded_pairs(materialize(crowds, "crowds"), packed, sketch), packed), "crowded"))
 
     def groups(self, links: DataFrame | None = None) -> DataFrame:
         """``(canonical_row, member_row)`` of each group of two or more rows, canonical < member."""

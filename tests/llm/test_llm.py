@@ -120,6 +120,22 @@ def test_hot_group_of_near_copies(spark):
     assert kinds <= {"exact", "near"}
 
 
+def test_crowded_bucket_of_unlike_records(spark, monkeypatch):
+    """All records in one bucket: only the exact pass can find the pairs far apart in both orders."""
+    monkeypatch.setattr(near_dups, "BANDS", 1)
+    monkeypatch.setattr(near_dups, "band_keys", lambda values, rows: np.zeros((len(values), 1), np.uint64))
+    monkeypatch.setattr(near_dups, "HOT", 7, raising=False)
+    rng = random.Random(11)
+    head = text_of(rng, 8)
+    bases = [f"{head} {text_of(rng, 40)}" for _ in range(60)]
+    rows = [(i, 0, t) for i, t in enumerate(bases)] + [(100 + i, 0, edit(rng, t, 2)) for i, t in enumerate(bases)]
+    sketch, documents = near_dups.frequency_sketch(frame(spark, rows).select("text"))
+    operator = near_dups.NearDuplicates(frame(spark, rows))
+    bands = near_dups.band_rows(operator.rows.select("node", "text"), sketch, documents)
+    assert bands.groupBy("band").count().agg({"count": "min"}).first()[0] == 120
+    assert {tuple(r) for r in operator.groups().collect()} == brute_groups(rows)
+
+
 def test_weighted_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 2**63, 120).astype(np.uint64)
