@@ -340,6 +340,32 @@ def test_personal_information(text, want):
     assert found == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("(212) 555-0104 / (415) 555-0185", ["(212) 555-0104", "(415) 555-0185"]),
+        ("row 212-555-0104 212-555-0185 666-80-6154 415.555.0185", ["212-555-0104", "212-555-0185", "666-80-6154", "415.555.0185"]),
+        ("+442079460904 4420794609041234 x", ["+442079460904"]),
+        ("joe [ at ] foo.test, ann{ at }foo.test, bo<at>foo.test, li (ät) foo.test", ["joe [ at ] foo.test", "ann{ at }foo.test", "bo<at>foo.test", "li (ät) foo.test"]),
+        ("jo<dot>li<at>foo<dot>test", ["jo<dot>li<at>foo<dot>test"]),
+        ("dial two one two six one six two one oh two", ["two one two six one six two one oh two"]),
+        ("at 12 Kelmo Street Suite 5, Rynstaburg and 7 Kelmo Road Apt 3, Ostpam", ["12 Kelmo Street Suite 5, Rynstaburg", "7 Kelmo Road Apt 3, Ostpam"]),
+        ("ul. Źrebna 12, 00-950 Kelmowo", ["ul. Źrebna 12, 00-950 Kelmowo"]),
+    ],
+)
+def test_no_shortcut_before_the_detectors(text, want):
+    assert [text[s.start : s.end] for s in pii.spans(text)] == want
+
+
+def test_street_anchors_hold_all_addresses():
+    streets = "Street|St|St.|Avenue|Ave|Ave.|Road|Rd.|Lane|Ln|Drive|Boulevard|Blvd.|Way|Mews|Crescent|Close|Court|Ct|Place|Square|Terrace|Parkway|Pkwy|Row|Gardens|Hill|Hollow".split("|")
+    texts = [f"x 12 Kelmo {s}{tail}, Rynstaburg y" for s in streets for tail in ("", " Suite 5", ", Suite 5", " Apt. 5", " Unit 5", " Flat 5", " Floor 5", " #5")]
+    texts += [f"x {t} y" for t in ("Am Kelhof 12, Ostpa", "Kelmo Str. 3, Ostpa", "22 ter rue du Kelmo, Ostpa", "3, quai Kelmo, Ostpa", "C/ Kelmo 3, Ostpa", "os. Óst 3, Ostpa", "al. Źrebna 3/4, Ostpa")]
+    for text in texts:
+        whole = [m[0] for m in pii._ADDRESS.finditer(text)]
+        assert whole and [text[s.start : s.end] for s in pii.addresses(text)] == whole
+
+
 def test_redaction_leaves_the_rest(spark):
     text = "A​ b@c.test x, tel. 415.555.0185\n"
     assert pii.redact(text) == "A​ [EMAIL] x, tel. [PHONE]\n" and pii.redact(None) is None and pii.redact("") == ""
