@@ -366,6 +366,23 @@ def test_street_anchors_hold_all_addresses():
         assert whole and [text[s.start : s.end] for s in pii.addresses(text)] == whole
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Dr. Smith, Frau Müller and Mme Claire Dubois met.", ["Smith", "Müller", "Claire Dubois"]),
+        ("Approved by Kelmo Garcia. Kind regards,\nOrla Nowak\n", ["Kelmo Garcia", "Orla Nowak"]),
+        ("asked J. R. Whitfield and Orla M. Nowak today", ["J. R. Whitfield", "Orla M. Nowak"]),
+        ("with Kelmo van der Meer and James Smith there", ["Kelmo van der Meer", "James Smith"]),
+        ("| owner | Garcia, Kelmo | ok; Orla Nowak signed off", ["Garcia, Kelmo", "Orla Nowak"]),
+        ("Reviewed by Security Team. Plan B. Restart Silver Lane; approved by the board", []),
+    ],
+)
+def test_names_of_any_ending(text, want, monkeypatch):
+    for endings in (pii.ENDINGS, ()):
+        monkeypatch.setattr(pii, "ENDINGS", endings)
+        assert [text[s.start : s.end] for s in pii.spans(text) if s.kind == "name"] == want
+
+
 def test_redaction_leaves_the_rest(spark):
     text = "A​ b@c.test x, tel. 415.555.0185\n"
     assert pii.redact(text) == "A​ [EMAIL] x, tel. [PHONE]\n" and pii.redact(None) is None and pii.redact("") == ""
