@@ -31,19 +31,27 @@ from scriptorium.llm.common import THREE_WORDS, likeness, mix64, shingles, slice
 from scriptorium.plans.session import materialize, spread
 
 SHINGLE, ALIKE = 3, 0.6
-BANDS, ROWS = 36, 4
+#: Sized for the lowest weighted likeness of a pair that is alike by ALIKE, see ``missed``.
+BANDS, ROWS = 48, 3
 #: Counters of the document-frequency sketch: two rows of a fixed width, whatever the corpus.
 WIDTH = 1 << 16
 #: Least weight as a share of the largest: a text whose near copies fill a good part of the corpus has
 #: frequent shingles only, and these must still outweigh the few that an edit brings in.
-FLOOR = 0.15
+FLOOR = 0.7
 #: Records of a bucket that each of its records is paired with, in each of two orders.
 NEIGHBOURS = 6
 #: Records of a shingle that one key of the exact join holds on either side.
-HOT = 1_000
+HOT = 20_000
 SLICE = 4_000
 
 
+def missed(alike: float = ALIKE) -> float:
+    """Greatest share of the pairs of unweighted likeness ``alike`` that no band has together: all that
+    a pair shares weighs ``FLOOR`` of what it does not share."""
+    weighted = alike * FLOOR / (alike * FLOOR + 1 - alike)
+    return (1 - weighted**ROWS) ** BANDS
+
+
 # -- document frequencies ---------------------------------------------------------------------
 
 
@@ -257,8 +265,9 @@ def verified(pairs: DataFrame, packed: DataFrame, at_least: float = ALIKE) -> Da
 
 
 def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """``(code, id, root, size, place)`` of ``rows (id, root, codes)``: the rarest shingles of each
-    record, so many that two records alike by ``ALIKE`` share at least one of them."""
+    """``(code, id, root, size, place, bits0, bits1, bits2)`` of ``rows (id, root, codes)``: the rarest
+    shingles of each record, so many that two records alike by ``ALIKE`` share at least one of them,
+    and all of the record's shingles folded to 192 bits."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -266,6 +275,9 @@ def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
             codes = [np.frombuffer(c, np.uint64) for c in batch.column(2).to_pylist()]
             sizes = np.array([len(c) for c in codes], np.int64)
             flat, record = np.concatenate([np.empty(0, np.uint64), *codes]), np.repeat(np.arange(len(codes)), sizes)
+            bits = np.zeros((len(codes), 192), bool)
+            bits[record, (mix64(flat) % np.uint64(192)).astype(np.int64)] = True
+            bits = np.packbits(bits, axis=1).view(np.int64)
             first, second = _slots(flat)
             flat = flat[np.lexsort((flat, np.minimum(shared.value[first], shared.value[second]), record))]
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -273,11 +285,11 @@ def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
             flat, record, place = flat[keep], record[keep], place[keep]
             take = pa.array(record)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[record].astype(np.int32)), pa.array(place.astype(np.int32))],
-                names=["code", "id", "root", "size", "place"],
+                [pa.array(flat.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[record].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(bits[record, i]) for i in range(3))],
+                names=["code", "id", "root", "size", "place", "bits0", "bits1", "bits2"],
             )
 
-    return rows.select("id", "root", "codes").mapInArrow(run, "code bigint, id bigint, root bigint, size int, place int")
+    return rows.select("id", "root", "codes").mapInArrow(run, "code bigint, id bigint, root bigint, size int, place int, bits0 bigint, bits1 bigint, bits2 bigint")
 
 
 def crowded_pairs(crowds: DataFrame, packed: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -293,13 +305,15 @@ def crowded_pairs(crowds: DataFrame, packed: DataFrame, sketch: np.ndarray) -> D
     own, others = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
 
     def side(x: str, mine: str, other: str) -> DataFrame:
-        names = [F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "size", "place")]
+        names = [F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "size", "place", "bits0", "bits1", "bits2")]
         return rows.select("code", *names, own.alias(mine), F.explode(others).alias(other))
 
     pairs = side("a", "p", "q").join(side("b", "q", "p"), ["code", "p", "q"])
     # alike records share this much; of the first shared shingle on, no more than what follows is shared
     least = F.expr(f"(size_a + size_b) * {ALIKE / (1 + ALIKE)} - 1e-6")
     pairs = pairs.where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (F.expr("least(size_a - place_a, size_b - place_b)") >= least))
+    # folding brings two records only nearer to each other
+    pairs = pairs.where(F.expr(f"bit_count(bits0_a ^ bits0_b) + bit_count(bits1_a ^ bits1_b) + bit_count(bits2_a ^ bits2_b) <= (size_a + size_b) * {(1 - ALIKE) / (1 + ALIKE)} + 1e-6"))
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 

@@ -136,6 +136,24 @@ def test_crowded_bucket_of_unlike_records(spark, monkeypatch):
     assert {tuple(r) for r in operator.groups().collect()} == brute_groups(rows)
 
 
+def test_bands_hold_alike_pairs_of_a_hot_group():
+    """Pairs of unweighted likeness 0.6 to 0.7 whose shared shingles are in a third of all rows."""
+    rng = np.random.default_rng(7)
+    documents, pairs, together = 280_000, 400, 0
+    shared = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sketch = np.ones(2 * near_dups.WIDTH, np.int64)
+    sketch[np.concatenate(near_dups._slots(shared))] = documents // 3
+    for _ in range(pairs):
+        own = rng.integers(0, 2**63, 2 * 30).astype(np.uint64)
+        codes = np.r_[np.sort(np.r_[shared, own[:30]]), np.sort(np.r_[shared, own[30:]])]
+        weights = near_dups.inverse_frequency(sketch, codes, documents)
+        _, values = near_dups.signatures(np.repeat([0, 1], 130), codes, weights, near_dups.BANDS * near_dups.ROWS)
+        a, b = near_dups.band_keys(values, near_dups.ROWS)
+        together += (a == b).any()
+    assert together >= 0.99 * pairs
+    assert near_dups.missed() <= 0.0011
+
+
 def test_weighted_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 2**63, 120).astype(np.uint64)
