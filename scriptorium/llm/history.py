@@ -40,7 +40,7 @@ PER_BUCKET = 1_000_000
 #: An axis on which more texts lie in the first batch is spread over several buckets by its texts.
 HOT_AXIS = 1 << 17
 #: Vectors of one cell that a query looks at in the first pass, nearest in size first; the rest is
-#: looked at in the second pass if the first found no match for the query.
+#: looked at in the second pass unless the first found the query's own text.
 FIRST_PASS = 256
 SLICE = 4_000
 #: Stands for the texts that a query has not looked at yet.
@@ -294,11 +294,13 @@ class TextHistory:
             return materialize(same.union(hits), "matches"), seen
 
         hits, seen = matches(None)
-        open_ = seen.where("more").select("q").distinct().join(hits.select("q"), "q", "left_anti")
+        # what was skipped may be nearer than any hit but the text itself
+        settled = hits.where("q = x").select("q").distinct()
+        open_ = seen.where("more").select("q").distinct().join(settled, "q", "left_anti")
         if not open_.isEmpty():
             open_ = materialize(open_, "second")
-            hits = hits.union(matches(open_)[0])
-        best = hits.groupBy(F.col("q").alias("node")).agg(F.max_by("x", F.struct("similarity", -F.col("x"))).alias("x"), F.max("similarity").alias("similarity"))
+            hits = hits.union(matches(open_)[0])  # both passes may give a pair; the best is taken below
+        best = hits.groupBy(F.col("q").alias("node")).agg(F.max_by("x", F.struct("similarity", F.col("q") == F.col("x"), -F.col("x"))).alias("x"), F.max("similarity").alias("similarity"))
         best.select("node", "x", "similarity").coalesce(4).write.mode("overwrite").parquet(f"{self.path}/rejected/gen={gen}")
         return self.rejected().where(F.col("gen") == gen).select("node", "x", "similarity")
 

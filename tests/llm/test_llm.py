@@ -72,6 +72,20 @@ def test_history_second_pass(spark, monkeypatch):
     assert few == {r.chunk_row for r in history.repeated_chunks(frame(spark, rows)).collect()}
 
 
+def test_history_finds_the_nearest_beyond_the_first_pass(spark, monkeypatch):
+    rng = random.Random(6)
+    parts = [(text_of(rng, 5), text_of(rng, 5)) for _ in range(14)]
+    # a template group: every axis is shared by many texts of one size
+    made = [" ".join(p[rng.random() < 0.25] for p in parts) for _ in range(60)]
+    rows = [(i, 0, t) for i, t in enumerate(made)] + [(200 + i, 1, t + " end") for i, t in enumerate(made)]
+    monkeypatch.setattr(history, "FIRST_PASS", 1)
+    few = {(r.chunk_row, round(r.similarity, 9)) for r in history.repeated_chunks(frame(spark, rows)).collect()}
+    monkeypatch.undo()
+    grams_of = {r: grams(t) for r, _, t in rows}
+    want = {r: max(len(grams_of[r] & grams_of[i]) / len(grams_of[r] | grams_of[i]) for i in range(60)) for r, b, _ in rows if b}
+    assert few == {(r, round(v, 9)) for r, v in want.items() if v >= 0.6}
+
+
 def test_history_with_spread_axes(spark, monkeypatch):
     monkeypatch.setattr(history, "_spread", lambda rank: 1 + rank.astype(np.int64) % 5)
     rows = made_chunks(1)
