@@ -229,6 +229,36 @@ def test_defects_on_held_out_pairs():
     assert detector.defect(q, "Sicherungen von belx-store werden 5 Tage lang in einer getrennten Region aufbewahrt.", f) == "other_language"
 
 
+def test_bare_values_are_sound():
+    rows = made_cases(900)
+    detector = qa_defects.fit(rows[:600])
+    values = [(q, re.search(r"\d+", a)[0], f) for q, a, f in rows[600:] if f and re.search(r"(?<!\S)\d+ ", f[0]) and re.search(r"(?<!\S)\d+ ", a)]
+    assert len(values) > 50 and sum(detector.defect(*v) == "other_language" for v in values) == 0
+    assert sum(detector.defect(*v) is not None for v in values) <= 0.1 * len(values)
+
+
+@pytest.mark.parametrize("form", range(3))
+def test_refusals_of_a_form_left_out_of_training(form):
+    rows = made_cases(700)
+    detector, rng = qa_defects.fit(rows[:500], without=form), random.Random(8)
+    others = [i for i in range(3) if i != form]
+    found = total = 0
+    for q, _, f in rows[500:]:
+        language = qa_defects.question_language(q) or "en"
+        words = " ".join(rng.choice(part) for part in qa_defects.REFUSAL_PARTS[language][form]).replace("{x}", "that")
+        found += detector.defect(q, words.capitalize() + ".", f) == "refusal"
+        total += 1
+    assert others and found >= 0.9 * total
+
+
+def test_defect_edges():
+    profile = qa_defects.learn_profile([])
+    for q, a, f in ((None, None, None), ("", "", []), ("?", "`", [None]), ("x", "\n\n", ["", " "]), ("What is it?", "...", ["a"]), ("Was?", "()[]", ["(("]), ("x " * 3_000, "y " * 30_000, ["z"] * 50)):
+        slots, values = qa_defects.features(q, a, f, profile)
+        assert len(slots) == len(values) and all(np.isfinite(values))
+    assert qa_defects.fit([("What is x?", "It is y.", ["y"])] * 3) is not None
+
+
 def test_defects_table(spark):
     schema = "id string, question string, answerability string, expected_answer string, expected_facts array<string>, defect string"
     rows = [(f"c{i}", q, "answerable", a, f, "clash") for i, (q, a, f) in enumerate(made_cases(300))]
