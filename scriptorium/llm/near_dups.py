@@ -10,11 +10,12 @@ A sample of a shingle depends on the shingle and its weight only, so it is drawn
 distinct shingle of a batch and records take minima over their shingles.
 
 Sizes: document frequencies come from a count sketch of fixed size; band rows are ``BANDS`` for
-each record; in a bucket every record is paired with its few neighbours in two orders and with the
-first record, so these pairs grow linearly with the rows, however hot a bucket is. The pairs that
-this leaves out of large buckets are looked for exactly, between records that are not in one group
-yet, by a join on their rarest shingles. Identical texts share one node from the start, so a text
-that makes up a third of all rows counts once.
+each record, and those alone in their bucket go first. The pairs of a bucket of up to ``BUCKET``
+records are pruned by an exact bound of folded shingles before anything else is read; larger
+buckets are cut into parts that are paired inside, and the pairs that this leaves out are looked
+for exactly, between records that are not in one group yet, by a join on their rarest shingles. Of
+a band that many records of one slice share, a few are sent on and stand for the slice. Identical
+texts share one node from the start, so a text that makes up a third of all rows counts once.
 """
 
 from __future__ import annotations
@@ -27,29 +28,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import components
-from scriptorium.llm.common import THREE_WORDS, likeness, mix64, shingles, slices, starts_of
+from scriptorium.llm.common import THREE_WORDS, mix64, shingles, slices, starts_of
 from scriptorium.plans.session import materialize, spread
 
 SHINGLE, ALIKE = 3, 0.6
 #: Sized for the lowest weighted likeness of a pair that is alike by ALIKE, see ``missed``.
 BANDS, ROWS = 48, 3
 #: Counters of the document-frequency sketch: two rows of a fixed width, whatever the corpus.
-WIDTH = 1 << 16
+WIDTH = 1 << 17
 #: Least weight as a share of the largest: a text whose near copies fill a good part of the corpus has
 #: frequent shingles only, and these must still outweigh the few that an edit brings in.
 FLOOR = 0.7
-#: Records of a bucket that each of its records is paired with, in each of two orders.
-NEIGHBOURS = 6
+#: Records of a bucket that are all paired, and records of one slice that a band sends on.
+BUCKET, SENT = 512, 64
 #: Records of a shingle that one key of the exact join holds on either side.
 HOT = 20_000
 SLICE = 4_000
+FOLDS = ("bits0", "bits1", "bits2")
 
 
 def missed(alike: float = ALIKE) -> float:
     """Greatest share of the pairs of unweighted likeness ``alike`` that no band has together: all that
     a pair shares weighs ``FLOOR`` of what it does not share."""
-    weighted = alike * FLOOR / (alike * FLOOR + 1 - alike)
-    return (1 - weighted**ROWS) ** BANDS
+    return (1 - least_weighted(alike) ** ROWS) ** BANDS
+
+
+def least_weighted(alike: float) -> float:
+    """Lowest weighted likeness of a pair of this unweighted one."""
+    return alike * FLOOR / (alike * FLOOR + 1 - alike)
 
 
 # -- document frequencies ---------------------------------------------------------------------
@@ -60,32 +66,57 @@ def _slots(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes & mask).astype(np.int64), ((codes >> np.uint64(32)) & mask).astype(np.int64) + WIDTH
 
 
-def frequency_sketch(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Count sketch of the document frequencies of all shingles of ``rows (text)``, and their number.
+def _folded(codes: np.ndarray, record: np.ndarray, records: int) -> np.ndarray:
+    """All shingles of each record folded to 192 bits: the matrix record x 3 of whole numbers."""
+    bits = np.zeros((records, 64 * len(FOLDS)), bool)
+    bits[record, (mix64(codes) % np.uint64(64 * len(FOLDS))).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
 
-    Each task sends at most ``2 * WIDTH`` counters; the result has that size for any corpus.
+def first_pass(rows: DataFrame) -> DataFrame:
+    """One pass over ``rows (node, text)``: counters of all shingles' document frequencies (``slot,
+    n``; slot ``2 * WIDTH`` counts the rows) and what is kept of each text (``node, size, bits``).
+
+    Each task sends at most ``2 * WIDTH + 1`` counters.
     """
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(2 * WIDTH + 1, np.int64)
+        names = ["slot", "n", "node", "size", *FOLDS]
         for batch in slices(batches, SLICE):
             total[-1] += batch.num_rows
-            _, codes = shingles(batch.column(0).to_pylist(), SHINGLE)
+            node = batch.column(0).to_numpy()
+            doc, codes = shingles(batch.column(1).to_pylist(), SHINGLE)
             for slot in _slots(codes):
                 total += np.bincount(slot, minlength=2 * WIDTH + 1)
+            starts = starts_of(doc)
+            if not len(starts):
+                continue
+            sizes = np.diff(np.r_[starts, len(doc)])
+            bits = _folded(codes, np.repeat(np.arange(len(starts)), sizes), len(starts))
+            none = pa.nulls(len(starts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(node[doc[starts]]), pa.array(sizes.astype(np.int32)), *(pa.array(bits[:, i]) for i in range(3))], names=names)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), none, pa.nulls(len(used), pa.int32()), none, none, none], names=names)
+
+    return rows.mapInArrow(run, "slot bigint, n bigint, node bigint, size int, bits0 bigint, bits1 bigint, bits2 bigint")
+
 
-    found = rows.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+def frequency_sketch(passed: DataFrame) -> tuple[np.ndarray, int]:
+    """Count sketch of the document frequencies of ``first_pass``, and the number of rows; it has one
+    size for any corpus."""
+    found = passed.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     sketch = np.zeros(2 * WIDTH + 1, np.int64)
     sketch[found["slot"].to_numpy()] = found["n"].to_numpy()
     return sketch[:-1], int(sketch[-1])
 
 
 def inverse_frequency(sketch: np.ndarray, codes: np.ndarray, documents: int) -> np.ndarray:
-    """ln(documents / frequency), with frequencies from the sketch, and at least ``FLOOR`` of ln(documents)."""
+    """ln(documents / frequency), with frequencies from the sketch less what its counters hold of other
+    shingles on average, and at least ``FLOOR`` of ln(documents)."""
     first, second = _slots(codes)
-    frequency = np.minimum(sketch[first], sketch[second])
+    frequency = np.minimum(sketch[first], sketch[second]) - sketch[:WIDTH].sum() / WIDTH
     most = np.log(max(documents, 2))
     return np.maximum(most - np.log(np.maximum(frequency, 1.0)), FLOOR * most).astype(np.float32)
 
@@ -176,8 +207,9 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame:
-    """``(band, node, other)`` of ``nodes (node, text)``; ``other`` is a sample of the record outside
-    the band, by which buckets are ordered once more. Texts that repeat in a batch are sampled once."""
+    """``(band, node, head, crowd)`` of ``nodes (node, text)``. Texts that repeat in a batch are sampled
+    once. Of a band that more than ``SENT`` records of a slice share, the others get a band of their own,
+    the slice's first record as ``head`` and, like those sent, the band as ``crowd``."""
     shared = nodes.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -190,35 +222,52 @@ def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame
             if not len(doc):
                 continue
             which, values = signatures(doc, codes, inverse_frequency(counts, codes, documents), BANDS * ROWS)
-            keys = band_keys(values, ROWS)
-            other = np.roll(values.reshape(len(values), BANDS, ROWS)[:, :, 0], 1, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node[which], BANDS)), pa.array(np.ascontiguousarray(other).ravel())],
-                names=["band", "node", "other"],
-            )
-
-    return nodes.mapInArrow(run, "band bigint, node bigint, other float")
-
-
-def neighbours(bands: DataFrame) -> DataFrame:
-    """``(node, near, crowd)``: the records that each record of a bucket is paired with, its neighbours
-    in two orders and the first record; ``crowd`` is the band of a bucket that leaves pairs out.
-    Buckets of one record are dropped before the second order is made; a bucket of up to
-    ``NEIGHBOURS + 1`` records gives all its pairs, the others are left to ``crowded``."""
-    whole, by_node = Window.partitionBy("band"), Window.partitionBy("band").orderBy("node")
-    by_other = Window.partitionBy("band").orderBy("other", "node")
-    near = [F.first("node").over(by_node), *(F.lag("node", i).over(by_node) for i in range(1, NEIGHBOURS + 1))]
-    rows = bands.select("band", "node", "other", F.array(*near).alias("near"), F.count("*").over(whole).alias("n")).where("n > 1")
-    again = F.array(*(F.lag("node", i).over(by_other) for i in range(1, NEIGHBOURS + 1)))
-    crowd = F.col("n") > NEIGHBOURS + 1
-    again = F.when(crowd, again)
-    return rows.select("node", F.concat("near", F.coalesce(again, F.array().cast("array<bigint>"))).alias("near"), F.when(crowd, F.col("band")).alias("crowd"))
-
-
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)`` with a < b of ``neighbours``."""
-    pairs = rows.select("node", F.explode("near").alias("b")).where("b is not null and b <> node")
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            keys, ids = band_keys(values, ROWS).ravel(), np.repeat(node[which], BANDS)
+            head, crowd = pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())
+            if len(which) > SENT:
+                order = np.lexsort((ids, keys))
+                starts = starts_of(keys[order])
+                sizes = np.diff(np.r_[starts, len(keys)])
+                if sizes.max() > SENT:
+                    row = np.repeat(np.arange(len(starts)), sizes)
+                    full, rest = order[(sizes > SENT)[row]], order[np.arange(len(keys)) - starts[row] >= SENT]
+                    lead = np.empty(len(keys), np.int64)
+                    lead[order] = ids[order][starts][row]
+                    is_full, is_rest = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+                    is_full[full], is_rest[rest] = True, True
+                    crowd = pa.array(keys.view(np.int64), mask=~is_full)
+                    head = pa.array(lead, mask=~is_rest)
+                    keys = np.where(is_rest, mix64(keys ^ mix64(ids.view(np.uint64))), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), head, crowd], names=["band", "node", "head", "crowd"])
+
+    return nodes.mapInArrow(run, "band bigint, node bigint, head bigint, crowd bigint")
+
+
+def bucketed(bands: DataFrame) -> DataFrame:
+    """``(band, part, node, head, crowd)`` without the records alone in their bucket; ``crowd`` is set
+    where a bucket leaves pairs out."""
+    rows = bands.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1 or head is not null")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET)).cast("int")
+    return rows.select("band", part.alias("part"), "node", "head", F.coalesce("crowd", F.when(F.col("n") > BUCKET, F.col("band"))).alias("crowd"))
+
+
+def may_be_alike(a: str = "a", b: str = "b") -> str:
+    """Exact bounds of an alike pair by sizes and folded bits: folding brings two records only nearer."""
+    apart = " + ".join(f"bit_count({f}_{a} ^ {f}_{b})" for f in FOLDS)
+    return f"least(size_{a}, size_{b}) >= {ALIKE} * greatest(size_{a}, size_{b}) - 1e-6 and {apart} <= (size_{a} + size_{b}) * {(1 - ALIKE) / (1 + ALIKE)} + 1e-6"
+
+
+def candidate_pairs(buckets: DataFrame, kept: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` with a < b of the buckets' parts that can be alike, by what is ``kept (node,
+    size, bits)`` of each text."""
+    rows = buckets.select("band", "part", "node").distinct().join(kept, "node")
+
+    def side(x: str) -> DataFrame:
+        return rows.select("band", "part", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", *FOLDS)))
+
+    pairs = side("a").join(side("b"), ["band", "part"]).where("node_a < node_b").where(may_be_alike())
+    led = buckets.where("head is not null and head <> node").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(led).distinct()
 
 
 # -- verification -------------------------------------------------------------------------------
@@ -240,25 +289,39 @@ def packed_shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, codes binary")
 
 
-def verified(pairs: DataFrame, packed: DataFrame, at_least: float = ALIKE) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs whose likeness is at least ``at_least``."""
+def shared_and_whole(a: list[bytes], b: list[bytes], weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What both shingle sets of each pair hold and what either holds: numbers, then weights."""
+    sides = [np.frombuffer(b"".join(x), np.uint64) for x in (a, b)]
+    pair = [np.repeat(np.arange(len(x)), [len(c) // 8 for c in x]) for x in (a, b)]
+    codes, of = np.concatenate(sides), np.concatenate(pair)
+    order = np.lexsort((codes, of))
+    codes, of = codes[order], of[order]
+    weight = weigh(codes).astype(np.float64) if len(codes) else np.empty(0)
+    twice = np.zeros(len(codes), bool)
+    twice[1:] = (codes[1:] == codes[:-1]) & (of[1:] == of[:-1])
+    n = len(a)
+    both, all_ = np.bincount(of[twice], minlength=n), np.bincount(of[~twice], minlength=n)
+    return both, all_, np.bincount(of[twice], weight[twice], n), np.bincount(of[~twice], weight[~twice], n)
+
+
+def verified(pairs: DataFrame, packed: DataFrame, sketch: np.ndarray, documents: int, at_least: float = ALIKE) -> DataFrame:
+    """``(a, b, similarity, weighted)`` of the pairs whose likeness is at least ``at_least``. The weighted
+    likeness is the first filter: it is no lower than ``least_weighted`` of an alike pair."""
     joined = pairs.join(packed.select(F.col("id").alias("a"), F.col("codes").alias("ca")), "a").join(
         packed.select(F.col("id").alias("b"), F.col("codes").alias("cb")), "b"
     )
+    shared = pairs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        for batch in batches:
-            values = [
-                likeness(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            values = np.array(values, np.float64)
-            keep = np.flatnonzero(values >= at_least)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(values[keep])], names=["a", "b", "similarity"]
-            )
+        for batch in slices(batches, SLICE):
+            both, all_, heavy, whole = shared_and_whole(batch.column(2).to_pylist(), batch.column(3).to_pylist(), lambda codes: inverse_frequency(shared.value, codes, documents))
+            weighted = heavy / np.maximum(whole, 1e-300)
+            keep = np.flatnonzero(weighted >= least_weighted(at_least) - 1e-6)
+            likely = both[keep] / np.maximum(all_[keep], 1)
+            keep, likely = keep[likely >= at_least], likely[likely >= at_least]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(likely), pa.array(weighted[keep])], names=["a", "b", "similarity", "weighted"])
 
-    return joined.select("a", "b", "ca", "cb").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return joined.select("a", "b", "ca", "cb").mapInArrow(run, "a bigint, b bigint, similarity double, weighted double")
 
 
 # -- the exact pass over crowded buckets ---------------------------------------------------------
@@ -275,9 +338,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
             codes = [np.frombuffer(c, np.uint64) for c in batch.column(2).to_pylist()]
             sizes = np.array([len(c) for c in codes], np.int64)
             flat, record = np.concatenate([np.empty(0, np.uint64), *codes]), np.repeat(np.arange(len(codes)), sizes)
-            bits = np.zeros((len(codes), 192), bool)
-            bits[record, (mix64(flat) % np.uint64(192)).astype(np.int64)] = True
-            bits = np.packbits(bits, axis=1).view(np.int64)
+            bits = _folded(flat, record, len(codes))
             first, second = _slots(flat)
             flat = flat[np.lexsort((flat, np.minimum(shared.value[first], shared.value[second]), record))]
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -286,7 +347,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
             take = pa.array(record)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[record].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(bits[record, i]) for i in range(3))],
-                names=["code", "id", "root", "size", "place", "bits0", "bits1", "bits2"],
+                names=["code", "id", "root", "size", "place", *FOLDS],
             )
 
     return rows.select("id", "root", "codes").mapInArrow(run, "code bigint, id bigint, root bigint, size int, place int, bits0 bigint, bits1 bigint, bits2 bigint")
@@ -305,15 +366,14 @@ def crowded_pairs(crowds: DataFrame, packed: DataFrame, sketch: np.ndarray) -> D
     own, others = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
 
     def side(x: str, mine: str, other: str) -> DataFrame:
-        names = [F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "size", "place", "bits0", "bits1", "bits2")]
+        names = [F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "size", "place", *FOLDS)]
         return rows.select("code", *names, own.alias(mine), F.explode(others).alias(other))
 
     pairs = side("a", "p", "q").join(side("b", "q", "p"), ["code", "p", "q"])
     # alike records share this much; of the first shared shingle on, no more than what follows is shared
     least = F.expr(f"(size_a + size_b) * {ALIKE / (1 + ALIKE)} - 1e-6")
     pairs = pairs.where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (F.expr("least(size_a - place_a, size_b - place_b)") >= least))
-    # folding brings two records only nearer to each other
-    pairs = pairs.where(F.expr(f"bit_count(bits0_a ^ bits0_b) + bit_count(bits1_a ^ bits1_b) + bit_count(bits2_a ^ bits2_b) <= (size_a + size_b) * {(1 - ALIKE) / (1 + ALIKE)} + 1e-6"))
+    pairs = pairs.where(may_be_alike())
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -339,24 +399,27 @@ class NearDuplicates:
         return self.rows.select("id", "node").join(heads, "node")
 
     def links(self) -> DataFrame:
-        """``(a, b, similarity)`` of representatives, verified: the neighbours in all buckets, then all
-        pairs across groups of the records of buckets that are too large for neighbours to be all."""
-        sketch, documents = frequency_sketch(self.rows.select("text"))
-        near = materialize(neighbours(band_rows(self.rows.select("node", "text"), sketch, documents)), "neighbours")
-        pairs = candidate_pairs(near)
+        """``(a, b, similarity, weighted)`` of representatives, verified: those of all buckets, then all
+        across groups of the records of buckets whose pairs were not all looked at."""
+        texts = self.rows.select("node", "text")
+        passed = materialize(first_pass(texts), "first")
+        self.sketch, self.documents = frequency_sketch(passed)
+        kept = passed.where("node is not null").select("node", "size", *FOLDS).dropDuplicates(["node"])
+        buckets = materialize(bucketed(band_rows(texts, self.sketch, self.documents)), "buckets")
+        pairs = candidate_pairs(buckets, kept)
         heads = self.rows.groupBy("node").agg(F.min("id").alias("rep"))
         named = pairs.join(heads.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a")
         named = named.join(heads.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
         pairs = materialize(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        crowds = buckets.where("crowd is not null").select("crowd", "node").distinct().join(heads, "node").select("crowd", F.col("rep").alias("id"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct()
         packed = materialize(packed_shingles(self.rows.join(wanted, "id", "left_semi").select("id", "text")), "shingles")
-        links = materialize(verified(pairs, packed), "links")
-        crowds = near.where("crowd is not null").select("crowd", "node").distinct()
-        if crowds.isEmpty():
+        links = materialize(verified(pairs, packed, self.sketch, self.documents), "links")
+        if buckets.where("crowd is not null").isEmpty():
             return links
-        crowds = crowds.join(heads, "node").select("crowd", F.col("rep").alias("id"))
         crowds = crowds.join(components.labels(links.select("a", "b")), "id", "left").select("crowd", "id", F.coalesce("root", "id").alias("root"))
-        return links.union(materialize(verified(crowded_pairs(materialize(crowds, "crowds"), packed, sketch), packed), "crowded"))
+        more = crowded_pairs(materialize(crowds, "crowds"), packed, self.sketch)
+        return links.union(materialize(verified(more, packed, self.sketch, self.documents), "crowded"))
 
     def groups(self, links: DataFrame | None = None) -> DataFrame:
         """``(canonical_row, member_row)`` of each group of two or more rows, canonical < member."""
@@ -374,16 +437,16 @@ def found(chunks: DataFrame) -> DataFrame:
 
 def records(chunks: DataFrame) -> DataFrame:
     """Duplicate records: each member with its canonical row, its kind (``exact`` for an equal text,
-    ``near``) and its likeness to the canonical text."""
+    ``near``), its likeness to the canonical text and the likeness weighted by inverse frequency."""
     operator = NearDuplicates(chunks)
     members = materialize(operator.groups(), "members")
     ids = members.select(F.explode(F.array("canonical_row", "member_row")).alias("id")).distinct()
     packed = packed_shingles(operator.rows.join(ids, "id", "left_semi").select("id", "text"))
     pairs = members.select(F.col("canonical_row").alias("a"), F.col("member_row").alias("b"))
-    scored = verified(pairs, packed, 0.0)
+    scored = verified(pairs, packed, operator.sketch, operator.documents, 0.0)
     node = operator.rows.select("id", "node")
     scored = scored.join(node.select(F.col("id").alias("a"), F.col("node").alias("na")), "a").join(
         node.select(F.col("id").alias("b"), F.col("node").alias("nb")), "b"
     )
     kind = F.when(F.col("na") == F.col("nb"), "exact").otherwise("near")
-    return scored.select(F.col("a").alias("canonical_row"), F.col("b").alias("member_row"), kind.alias("duplicate_type"), F.round("similarity", 6).alias("similarity"))
+    return scored.select(F.col("a").alias("canonical_row"), F.col("b").alias("member_row"), kind.alias("duplicate_type"), F.round("similarity", 6).alias("similarity"), F.round("weighted", 6).alias("weighted_similarity"))

@@ -134,8 +134,12 @@ def test_hot_group_of_near_copies(spark):
     assert kinds <= {"exact", "near"}
 
 
-def test_crowded_bucket_of_unlike_records(spark, monkeypatch):
-    """All records in one bucket: only the exact pass can find the pairs far apart in both orders."""
+@pytest.mark.parametrize("sent", [2, 10_000])
+def test_crowded_bucket_of_unlike_records(spark, monkeypatch, sent):
+    """All records in one bucket: only the exact pass can find the pairs of different parts, and those
+    that a slice does not send on."""
+    monkeypatch.setattr(near_dups, "BUCKET", 7)
+    monkeypatch.setattr(near_dups, "SENT", sent)
     monkeypatch.setattr(near_dups, "BANDS", 1)
     monkeypatch.setattr(near_dups, "band_keys", lambda values, rows: np.zeros((len(values), 1), np.uint64))
     monkeypatch.setattr(near_dups, "HOT", 7, raising=False)
@@ -143,13 +147,37 @@ def test_crowded_bucket_of_unlike_records(spark, monkeypatch):
     head = text_of(rng, 8)
     bases = [f"{head} {text_of(rng, 40)}" for _ in range(60)]
     rows = [(i, 0, t) for i, t in enumerate(bases)] + [(100 + i, 0, edit(rng, t, 2)) for i, t in enumerate(bases)]
-    sketch, documents = near_dups.frequency_sketch(frame(spark, rows).select("text"))
     operator = near_dups.NearDuplicates(frame(spark, rows))
+    sketch, documents = near_dups.frequency_sketch(near_dups.first_pass(operator.rows.select("node", "text")))
     bands = near_dups.band_rows(operator.rows.select("node", "text"), sketch, documents)
-    assert bands.groupBy("band").count().agg({"count": "min"}).first()[0] == 120
+    if sent > 120:
+        assert bands.groupBy("band").count().agg({"count": "min"}).first()[0] == 120
+    else:
+        assert bands.where("head is not null").count() > 0
+    assert near_dups.bucketed(bands).where("crowd is null").count() == 0
     assert {tuple(r) for r in operator.groups().collect()} == brute_groups(rows)
 
 
+def test_hot_group_between_slices(spark, monkeypatch):
+    """A third of all rows in one hot group, which no slice sends on whole."""
+    monkeypatch.setattr(near_dups, "SENT", 3)
+    monkeypatch.setattr(near_dups, "BUCKET", 6)
+    rng = random.Random(13)
+    base = text_of(rng, 60)
+    rows = [(i, 0, edit(rng, base, rng.choice([1, 3, 6]))) for i in range(80)] + [(500 + i, 0, text_of(rng, 50)) for i in range(160)]
+    assert {tuple(r) for r in near_dups.found(frame(spark, rows)).collect()} == brute_groups(rows)
+
+
+def test_records_state_both_likenesses(spark):
+    rng = random.Random(4)
+    base = text_of(rng, 60)
+    rows = [(1, 0, base), (2, 0, base), (3, 0, edit(rng, base, 2))]
+    got = {r.member_row: r for r in near_dups.records(frame(spark, rows)).collect()}
+    a, b = grams(base), grams(rows[2][2])
+    assert got[2].similarity == got[2].weighted_similarity == 1.0 and got[2].duplicate_type == "exact"
+    assert got[3].similarity == pytest.approx(len(a & b) / len(a | b), abs=1e-6) and 0 < got[3].weighted_similarity < 1
+
+
 def test_bands_hold_alike_pairs_of_a_hot_group():
     """Pairs of unweighted likeness 0.6 to 0.7 whose shared shingles are in a third of all rows."""
     rng = np.random.default_rng(7)
