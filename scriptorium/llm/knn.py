@@ -5,10 +5,13 @@ small classifier (softmax over the vector) learns from each sample vector in whi
 neighbours lie. Every vector is indexed in its most probable part and searches the several most
 probable ones, where candidates are reranked by their exact distance.
 
-Sizes: sample, classifier and part table have fixed bounds; a part has about ``PART`` vectors, so
-the work for each vector is constant. A part that came out larger is split into blocks, and its
-searches go to all of them. Equal vectors share one entry: the index holds one of them and the
-answers are spread over their ids afterwards.
+Sizes: sample, classifiers and part table have fixed bounds; a part has about ``PART`` vectors, so
+the work for each vector is constant. Where the sample is too small for as many parts as the
+collection needs, each part is cut once more in the same way, on a bounded sample of its own
+vectors (up to ``SUBS`` parts each). A part that came out larger is split into blocks, and its
+searches go to all of them; many searches of one part are split too, so no group grows with the
+data. Equal vectors share one entry: the index holds one of them and the answers are spread over
+their ids afterwards.
 """
 
 from __future__ import annotations
@@ -28,6 +31,11 @@ from scriptorium.plans.session import materialize
 NEAREST, CLOSE, WIDTH = 5, 0.12, 64
 #: Vectors of a part, rows the partitioning is learned on at most, parts at most.
 PART, SAMPLE_ROWS, MOST_PARTS = 1_500, 24_000, 4_096
+#: Sample rows a part is learned from at least; parts that a part is cut into at most, and rows of its
+#: own that this is learned on at most.
+PER_PART, SUBS, SUB_ROWS = 12, 64, 2_560
+#: Searches of a part that one group answers.
+ASKS = 30_000
 #: A vector searches parts until they hold this share of its probability, and at most so many.
 MASS, PROBES = 0.995, 8
 GRAPH = 10
@@ -151,9 +159,9 @@ def fit_router(x: np.ndarray, label: np.ndarray, graph: np.ndarray, parts: int,
     return Router(weights, bias)
 
 
-def learn(sample: np.ndarray, vectors: int) -> tuple[Router, int]:
+def learn(sample: np.ndarray, vectors: int, per_part: int | None = None) -> tuple[Router, int]:
     """Router and number of parts for a collection of so many vectors."""
-    parts = int(min(MOST_PARTS, max(1, round(vectors / PART)), max(1, len(sample) // 12)))
+    parts = int(min(MOST_PARTS, max(1, round(vectors / PART)), max(1, len(sample) // (per_part or PER_PART))))
     if parts < 2:
         return Router(np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32)), 1
     x = unit(sample)
@@ -161,6 +169,37 @@ def learn(sample: np.ndarray, vectors: int) -> tuple[Router, int]:
     return fit_router(x, balanced_parts(x, graph, parts), graph, parts), parts
 
 
+def learn_inside(entries: DataFrame, router: Router, parts: int, vectors: int) -> dict[int, Router]:
+    """Routers inside the parts, for collections that need more parts than one sample can tell; each is
+    learned on at most ``SUB_ROWS`` of the part's own vectors, chosen by a hash of their id. What comes
+    to the driver is bounded by ``MOST_PARTS * SUBS`` columns of weights."""
+    inside = vectors / parts
+    if inside <= 2 * PART:
+        return {}
+    shared = entries.sparkSession.sparkContext.broadcast(router)
+    draw = F.xxhash64("id", F.lit("inside"))
+    some = entries.where(F.shiftrightunsigned(draw, 1) < F.lit(min(2**63 - 1, int(min(1.0, 8 * SUB_ROWS / inside) * 2.0**63))))
+
+    def place(batches):
+        for batch in batches:
+            x = unit(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, WIDTH))
+            best = shared.value.probabilities(x).argmax(axis=1) if len(x) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), batch.column(0), batch.column(1)], names=["part", "id", "vector"])
+
+    placed = some.select("id", "vector").mapInArrow(place, "part int, id bigint, vector array<float>")
+    order = Window.partitionBy("part").orderBy(F.xxhash64("id", F.lit("inside")), "id")
+    placed = placed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SUB_ROWS).drop("n")
+    target = int(min(SUBS, round(inside / PART)))
+
+    def cut(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame["vector"].to_numpy()).astype(np.float32)
+        found, n = learn(x, min(target, len(x) // PER_PART) * PART)
+        return pd.DataFrame({"part": [key[0]], "n": [n], "weights": [found.weights.tobytes()], "bias": [found.bias.astype(np.float32).tobytes()]})
+
+    rows = placed.groupBy("part").applyInPandas(cut, "part int, n int, weights binary, bias binary").where("n > 1").collect()
+    return {r.part: Router(np.frombuffer(bytes(r.weights), np.float32).reshape(WIDTH, r.n), np.frombuffer(bytes(r.bias), np.float32)) for r in rows}
+
+
 # -- indexing and searching ---------------------------------------------------------------------
 
 
@@ -170,28 +209,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
 
-def routed(entries: DataFrame, router: Router) -> DataFrame:
+def choose(x: np.ndarray, router: Router, inside: dict[int, Router]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, cell, place)`` of the cells that each row of ``x`` searches, the most probable (its home)
+    first: parts, or parts inside parts, until they hold ``MASS`` of its probability, ``PROBES`` at most."""
+    p = router.probabilities(x)
+    width = min(PROBES, p.shape[1])
+    best = np.argpartition(-p, width - 1, axis=1)[:, :width] if width < p.shape[1] else np.tile(np.arange(width), (len(p), 1))
+    likely = np.take_along_axis(p, best, axis=1)
+    cells, shares = best.astype(np.int64) * SUBS, likely
+    if inside:
+        cells = np.repeat(cells[:, :, None], SUBS, axis=2) + np.arange(SUBS)
+        shares = np.zeros(cells.shape, np.float32)
+        shares[:, :, 0] = likely
+        for part in np.unique(best):
+            if part in inside:
+                row, at = np.nonzero(best == part)
+                within = inside[part].probabilities(x[row])
+                shares[row, at, : within.shape[1]] = likely[row, at, None] * within
+        cells, shares = cells.reshape(len(x), -1), shares.reshape(len(x), -1)
+        width = min(PROBES, shares.shape[1])
+    order = np.argsort(-shares, axis=1, kind="stable")[:, :width]
+    shares = np.take_along_axis(shares, order, axis=1)
+    goes = np.concatenate([np.ones((len(x), 1), bool), (np.cumsum(shares, axis=1)[:, :-1] < MASS) & (shares[:, 1:] > 0)], axis=1)
+    row, place = np.nonzero(goes)
+    return row, cells[row, order[row, place]], place
+
+
+def routed(entries: DataFrame, router: Router, inside: dict[int, Router] | None = None) -> DataFrame:
     """``(part, home, id, vector binary)``: each entry once in its home part and once for every other
     part that it searches. Vectors travel as 32-bit unit vectors."""
-    shared = entries.sparkSession.sparkContext.broadcast(router)
+    shared = entries.sparkSession.sparkContext.broadcast((router, inside or {}))
 
     def run(batches):
-        known = shared.value
+        known, within = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 2_048):
                 some = batch.slice(start, 2_048)
                 x = unit(_matrix(some.column(1)))
-                p = known.probabilities(x)
-                width = min(PROBES, p.shape[1])
-                best = np.argsort(-p, axis=1, kind="stable")[:, :width]
-                mass = np.cumsum(np.take_along_axis(p, best, axis=1), axis=1)
-                goes = np.concatenate([np.ones((len(p), 1), bool), mass[:, :-1] < MASS], axis=1)
-                row, place = np.nonzero(goes)
+                row, cell, place = choose(x, known, within)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * WIDTH), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, np.float32))]).cast(pa.binary())
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(best[row, place].astype(np.int32)), pa.array(place == 0), some.column(0).take(take), packed.take(take)], names=["part", "home", "id", "vector"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(place == 0), some.column(0).take(take), packed.take(take)], names=["part", "home", "id", "vector"])
 
     return entries.mapInArrow(run, "part int, home boolean, id bigint, vector binary")
 
@@ -210,7 +268,9 @@ def _search(frame: pd.DataFrame, k: int) -> pd.DataFrame:
         for start in range(0, len(asks), 1_024):
             rows = asks[start : start + 1_024]
             near = x[rows] @ b.T
-            near[ids[rows][:, None] == bi[None, :]] = -9 if len(b) < 4 * PART else near.min()
+            self_at = np.minimum(np.searchsorted(bi, ids[rows]), len(bi) - 1)
+            own = np.flatnonzero(bi[self_at] == ids[rows])
+            near[own, self_at[own]] = -9
             top = np.argpartition(-near, width - 1, axis=1)[:, :width]
             exact = 1.0 - np.einsum("ij,ikj->ik", x[rows].astype(np.float64), b[top].astype(np.float64))
             other = bi[top]
@@ -222,22 +282,26 @@ def _search(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"q": np.empty(0, np.int64), "x": np.empty(0, np.int64), "distance": np.empty(0)})
 
 
-def nearest_entries(entries: DataFrame, router: Router, parts: int, k: int = NEAREST) -> DataFrame:
+def placed(rows: DataFrame) -> DataFrame:
+    """``(part, block, turn, role, id, vector)`` of ``routed``: the entries of a part in blocks, its
+    searches in turns, each turn beside every block. Role 0 is indexed only, 1 searches only, 2 both."""
+    sizes = rows.groupBy("part").agg(F.count_if("home").alias("homes"), F.count("*").alias("asks"))
+    blocks = F.when(F.col("homes") > 3 * PART, F.ceil(F.col("homes") / (2 * PART))).otherwise(1).cast("int")
+    table = sizes.select("part", blocks.alias("blocks"), F.ceil(F.col("asks") / ASKS).cast("int").alias("turns"))
+    rows = rows.join(F.broadcast(table), "part")  # a row a part: at most MOST_PARTS * SUBS
+    own_block, own_turn = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.pmod(F.xxhash64("id", F.lit("turn")), "turns").cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda block, turn, role: F.struct(block.alias("block"), turn.alias("turn"), role.alias("role"))
+    searches = F.transform(numbers("blocks"), lambda b: place(b, own_turn, F.when(F.col("home") & (b == own_block), 2).otherwise(1)))
+    indexed = F.when(F.col("home"), F.transform(F.filter(numbers("turns"), lambda t: t != own_turn), lambda t: place(own_block, t, F.lit(0)))).otherwise(F.array().cast("array<struct<block:int,turn:int,role:int>>"))
+    return rows.select("part", "id", "vector", F.explode(F.concat(searches, indexed)).alias("s")).select("part", "s.block", "s.turn", "s.role", "id", "vector")
+
+
+def nearest_entries(entries: DataFrame, router: Router, inside: dict[int, Router] | None = None, k: int = NEAREST) -> DataFrame:
     """``(q, x, distance)``: the k nearest other entries of each entry of ``entries (id, vector)``."""
-    rows = materialize(routed(entries, router), "routed")
-    sizes = {r.part: r.n for r in rows.where("home").groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
-    blocks = {p: -(-n // (2 * PART)) for p, n in sizes.items() if n > 3 * PART}
-    count = F.lit(1)
-    for part, n in blocks.items():
-        count = F.when(F.col("part") == part, F.lit(n)).otherwise(count)
-    own = F.pmod(F.xxhash64("id"), count).cast("int")
-    # role 0: indexed only, 1: searches only, 2: both
-    spread = F.when(
-        F.col("home"), F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.struct(b.alias("block"), F.when(b == own, F.lit(2)).otherwise(F.lit(1)).alias("role")))
-    ).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role"))))
-    placed = rows.select("part", "id", "vector", F.explode(spread).alias("s")).select("part", "s.block", "s.role", "id", "vector")
-    # exact products beside the sizes: the largest group is a block of 3 * PART entries and its searches
-    found = placed.groupBy("part", "block").applyInPandas(lambda frame: _search(frame, k), "q bigint, x bigint, distance double")
+    rows = materialize(routed(entries, router, inside), "routed")
+    # the largest group is a block of 3 * PART entries and ASKS searches
+    found = placed(rows).groupBy("part", "block", "turn").applyInPandas(lambda frame: _search(frame, k), "q bigint, x bigint, distance double")
     best = Window.partitionBy("q").orderBy("distance", "x")
     return found.dropDuplicates(["q", "x"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("q", "x", "distance")
 
@@ -266,7 +330,7 @@ class VectorNeighbours:
         router, parts = learn(_matrix(sample.column("vector")), n) if n else (None, 0)
         if not n:
             return self.rows.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
-        near = nearest_entries(entries, router, parts, self.k)
+        near = nearest_entries(entries, router, learn_inside(entries, router, parts, n), self.k)
         # what a class of equal vectors has around it: its own first members and those of the others
         member = kept.select("same", F.col("id").alias("neighbour"))
         head = kept.where("place = 1").select("same", F.col("id").alias("head"))

@@ -316,6 +316,30 @@ def test_neighbours_recall(spark):
     assert got.id.max() < 6000 and got.groupby("id").size().max() == 5
 
 
+@pytest.mark.parametrize(
+    ("constants", "least"),
+    [
+        ({"PART": 20, "SAMPLE_ROWS": 1_200}, 0.9),  # 100 parts of the sample, cut once more
+        ({"PART": 100, "SAMPLE_ROWS": 5, "SUBS": 1, "ASKS": 500}, 1.0),  # one part in blocks and turns is exact
+        ({"PART": 2, "SAMPLE_ROWS": 6_000, "PER_PART": 2}, 0.3),  # 3,000 parts: far more than are searched
+    ],
+)
+def test_neighbours_of_many_parts(spark, monkeypatch, constants, least):
+    for name, value in constants.items():
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(500, 64))
+    x = (centres[rng.integers(0, 500, 6000)] + 0.4 * rng.normal(size=(6000, 64))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = knn.VectorNeighbours(table).neighbours().toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -9)
+    true = {(i, int(j)) for i, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for j in row}
+    assert len(true & set(zip(got.id, got.neighbour, strict=True))) / len(true) >= least
+    assert got.groupby("id").size().max() <= 5 and not got.duplicated(["id", "neighbour"]).any()
+
+
 def test_equal_vectors_take_part(spark):
     same = [1.0] + [0.5] * 63
     rows = [(i, same) for i in range(9)] + [(100, [0.9] + [0.5] * 63)]
