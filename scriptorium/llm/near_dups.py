@@ -44,6 +44,8 @@ BUCKET, SENT = 512, 64
 #: Records of a shingle that one key of the exact join holds on either side.
 HOT = 20_000
 SLICE = 4_000
+#: Stands for NULL in whole numbers; no hash of a text is likely to be it.
+NONE = -(2**63)
 FOLDS = ("bits0", "bits1", "bits2")
 
 
@@ -158,14 +160,12 @@ def samples(codes: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
         z, w, r, t, b = z[:n], w[:n], r[:n], t[:n], b[:n]
         np.bitwise_xor(codes[start : start + n, None], seeds, out=z)
         np.multiply(z, np.uint64(0xBF58476D1CE4E5B9), out=z)
-        np.right_shift(z, np.uint64(31), out=w)
+        np.right_shift(z, np.uint64(32), out=w)
         np.bitwise_xor(z, w, out=z)
         np.multiply(z, np.uint64(0x94D049BB133111EB), out=z)
-        np.right_shift(z, np.uint64(29), out=w)
-        np.bitwise_xor(z, w, out=z)
         np.right_shift(z, np.uint64(52), out=w)
         np.take(gammas, w.view(np.int64), out=r, mode="clip")
-        half = z.view(np.uint32)[:, ::2]  # the low half gives b, the middle sixteen bits the place of ln c
+        half = z.view(np.uint32)[:, ::2]  # bits 16 to 31 give b, the next sixteen the place of ln c
         np.multiply(half, np.float32(2.0**-32), out=b, casting="unsafe")
         np.divide(log_w[start : start + n], r, out=t)
         np.add(t, b, out=t)
@@ -243,12 +243,38 @@ def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame
     return nodes.mapInArrow(run, "band bigint, node bigint, head bigint, crowd bigint")
 
 
+def _whole(batches, kinds: tuple) -> list[np.ndarray]:
+    """The columns of all batches of a partition; NULL becomes ``NONE``."""
+    parts = [[(c.fill_null(NONE) if c.null_count else c).to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+    return [np.concatenate([np.empty(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds)]
+
+
 def bucketed(bands: DataFrame) -> DataFrame:
     """``(band, part, node, head, crowd)`` without the records alone in their bucket; ``crowd`` is set
-    where a bucket leaves pairs out."""
-    rows = bands.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1 or head is not null")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET)).cast("int")
-    return rows.select("band", part.alias("part"), "node", "head", F.coalesce("crowd", F.when(F.col("n") > BUCKET, F.col("band"))).alias("crowd"))
+    where a bucket leaves pairs out. A task holds its share of the bands, which stays small however hot
+    a band is, since each slice sends at most ``SENT`` of its records on."""
+
+    def run(batches):
+        band, node, head, crowd = _whole(batches, (np.int64,) * 4)
+        for again in range(2):  # then without texts that several slices sent
+            order = np.lexsort((node, band)) if again else np.argsort(band)
+            starts = starts_of(band[order])
+            size = np.repeat(np.diff(np.r_[starts, len(band)]), np.diff(np.r_[starts, len(band)]))
+            keep = (size > 1) | (head[order] != NONE)
+            if again:
+                n = node[order]
+                keep &= np.r_[True, (n[1:] != n[:-1]) | (band[order][1:] != band[order][:-1])][: len(n)] | (head[order] != NONE)
+            order = order[keep]
+            band, node, head, crowd, size = band[order], node[order], head[order], crowd[order], size[keep]
+        part = (mix64(node.view(np.uint64)) % np.maximum(-(-size // BUCKET), 1).astype(np.uint64)).astype(np.int32)
+        crowd = np.where((crowd == NONE) & (size > BUCKET), band, crowd)
+        for start in range(0, len(band), 100_000):
+            some = slice(start, start + 100_000)
+            columns = [pa.array(band[some]), pa.array(part[some]), pa.array(node[some])]
+            columns += [pa.array(x[some], mask=x[some] == NONE) for x in (head, crowd)]
+            yield pa.RecordBatch.from_arrays(columns, names=["band", "part", "node", "head", "crowd"])
+
+    return bands.repartition("band").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
 
 
 def may_be_alike(a: str = "a", b: str = "b") -> str:
@@ -259,15 +285,34 @@ def may_be_alike(a: str = "a", b: str = "b") -> str:
 
 def candidate_pairs(buckets: DataFrame, kept: DataFrame) -> DataFrame:
     """Distinct ``(a, b)`` with a < b of the buckets' parts that can be alike, by what is ``kept (node,
-    size, bits)`` of each text."""
-    rows = buckets.select("band", "part", "node").distinct().join(kept, "node")
-
-    def side(x: str) -> DataFrame:
-        return rows.select("band", "part", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "size", *FOLDS)))
+    size, bits)`` of each text. No part has many more than ``BUCKET`` records."""
 
-    pairs = side("a").join(side("b"), ["band", "part"]).where("node_a < node_b").where(may_be_alike())
+    def run(batches):
+        band, part, node, size, *bits = _whole(batches, (np.int64, np.int32, np.int64, np.int32, np.int64, np.int64, np.int64))
+        order = np.lexsort((node, part, band))
+        band, part, node, size, bits = band[order], part[order], node[order], size[order].astype(np.int64), np.stack(bits, axis=1)[order]
+        starts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])][: len(band)])
+        ends = np.repeat(np.r_[starts[1:], len(band)], np.diff(np.r_[starts, len(band)])) if len(band) else starts
+        after = ends - np.arange(len(band)) - 1  # records of the bucket behind each one
+        found = [np.empty((0, 2), np.int64)]
+        cuts = np.searchsorted(np.cumsum(after), np.arange(0, int(after.sum()) + 1, 500_000), "left") if len(band) else np.empty(0, np.int64)
+        for start, end in zip(cuts, np.r_[cuts[1:], len(band)], strict=True):
+            count = after[start:end]
+            a = np.repeat(np.arange(start, end), count)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + a + 1
+            near = np.flatnonzero((node[a] != node[b]) & (np.minimum(size[a], size[b]) >= ALIKE * np.maximum(size[a], size[b]) - 1e-6))
+            a, b = a[near], b[near]
+            # folding brings two records only nearer to each other
+            apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = apart <= (1 - ALIKE) / (1 + ALIKE) * (size[a] + size[b]) + 1e-6
+            found.append(np.stack([node[a[near]], node[b[near]]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if len(band) else found[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
+
+    rows = buckets.select("band", "part", "node").join(kept, "node").select("band", "part", "node", "size", *FOLDS)
+    pairs = rows.repartition("band", "part").mapInArrow(run, "a bigint, b bigint")
     led = buckets.where("head is not null and head <> node").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(led).distinct()
+    return pairs.union(led).distinct()
 
 
 # -- verification -------------------------------------------------------------------------------
