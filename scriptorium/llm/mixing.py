@@ -18,17 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe
 from scriptorium.llm.common import WORD, bounded_sample
-from scriptorium.plans.session import spread
+from scriptorium.plans.session import materialize, spread
 
 #: Width of the classifier's hashed word table, and labelled rows it is fitted on at most.
 WIDTH = 1 << 13
 SAMPLE_ROWS = 3_000
 LEVELS = 8
+#: Bins by which a cell's documents are summed before one bin is put in order.
+BINS = 4_096
 
 
 @dataclass(frozen=True)
@@ -150,42 +152,51 @@ def fit_rates(expected: np.ndarray, cap: np.ndarray, target: np.ndarray, steps:
 
 @dataclass(frozen=True)
 class Mix:
-    """A fitted mix: rate of each cell, and what each source can give and gets."""
+    """A fitted mix: rate of each cell, the total that shares are of, and what each source has and wants."""
 
     rates: dict[str, float]
-    report: list[tuple[str, float, float, int, float, float, bool]]
+    total: int
+    sources: list[tuple[str, float, float, int, float, bool]]
 
 
 def fit_mix(cells: list, targets: list[tuple[str, float, int]]) -> Mix:
     """Fit the rates of the cells.
 
-    The targets' total is the number of tokens of all documents whose source is a target. Unlabelled
-    documents may be used once at most, and only as far as the fit needs them.
+    The targets' total is the number of tokens of all documents whose source is a target. Documents of
+    a known source are fitted first; unlabelled ones, used once at most, then fill what is missing, and
+    both are fitted in turn until neither changes. A source is short if its own documents are at their
+    cap in the fit of the known ones and exact whole numbers confirm it.
     """
     sources = [s for s, _, _ in targets]
     place = {s: i for i, s in enumerate(sources)}
     own = {c["cell"][1:]: int(c["tokens"]) for c in cells if c["cell"].startswith("=")}
     total = sum(own.values())
     target = np.array([share * total for _, share, _ in targets], float)
-    names, rows, caps = [], [], []
-    for c in sorted(cells, key=lambda c: c["cell"]):
-        row = np.zeros(len(sources))
-        if c["cell"].startswith("="):
-            row[place[c["cell"][1:]]] = c["tokens"]
-            caps.append(float(targets[place[c["cell"][1:]]][2]))
+    names = sorted(c["cell"] for c in cells)
+    by_name = {c["cell"]: c for c in cells}
+    matrix, cap = np.zeros((len(names), len(sources))), np.ones(len(names))
+    for i, name in enumerate(names):
+        if name.startswith("="):
+            matrix[i, place[name[1:]]] = by_name[name]["tokens"]
+            cap[i] = targets[place[name[1:]]][2]
         else:
-            row[:] = [c[f"e{i}"] for i in range(len(sources))]
-            caps.append(1.0)
-        names.append(c["cell"])
-        rows.append(row)
-    rates = fit_rates(np.array(rows).reshape(-1, len(sources)), np.array(caps), target) if names else np.empty(0)
-    reached = (rates[:, None] * np.array(rows)).sum(axis=0) if names else np.zeros(len(sources))
-    whole = max(float(reached.sum()), 1.0)
-    report = []
+            matrix[i] = [by_name[name][f"e{j}"] for j in range(len(sources))]
+    known = np.array([n.startswith("=") for n in names], bool)
+    rates = np.zeros(len(names))
+    rates[known] = fit_rates(matrix[known], cap[known], target)
+    first = dict(zip(names, rates, strict=True))
+    for _ in range(40 if (~known).any() else 0):
+        before = rates.copy()
+        rates[~known] = fit_rates(matrix[~known], cap[~known], np.maximum(target - rates[known] @ matrix[known], 0.0))
+        rates[known] = fit_rates(matrix[known], cap[known], np.maximum(target - rates[~known] @ matrix[~known], 0.0))
+        if np.abs(rates - before).max() < 1e-9:
+            break
+    rows = []
     for i, (source, share, repeats) in enumerate(targets):
-        has = own.get(source, 0)
-        report.append((source, float(share), float(target[i]), has, float(rates[names.index(f"={source}")]) if f"={source}" in names else 0.0, float(reached[i] / whole), bool(repeats * has < share * total)))
-    return Mix(dict(zip(names, map(float, rates), strict=True)), report)
+        has, rate = own.get(source, 0), first.get(f"={source}", 0.0)
+        at_cap = not has or rate >= repeats * (1 - 1e-9)
+        rows.append((source, float(share), float(target[i]), has, float(rates[names.index(f"={source}")]) if has else 0.0, bool(at_cap and repeats * has < share * total)))
+    return Mix(dict(zip(names, map(float, rates), strict=True)), total, rows)
 
 
 def target_rows(mix_targets: DataFrame) -> list[tuple[str, float, int]]:
@@ -206,30 +217,70 @@ def plan_mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: bytes | N
     an empty document or target table gives an empty mix.
     """
     targets = target_rows(mix_targets)
-    measured = measure(documents, targets, vocabulary)
+    measured = materialize(measure(documents, targets, vocabulary), "measured")
     cells = [r.asDict() for r in cell_totals(measured, len(targets)).collect()]
     return measured, fit_mix(cells, targets), targets
 
 
-REPORT = "source string, target_share double, target_tokens double, source_tokens bigint, rate double, reached_share double, short boolean"
+def choose(measured: DataFrame, mix: Mix) -> DataFrame:
+    """``(doc_id, source, tokens, copies, membership)`` of each document used. Every document of a cell
+    is used as often as the whole part of the cell's rate; for the rest of the rate documents are used
+    once more, in the order of a hash of their id, until its share of the cell's tokens is reached, to
+    the document nearest to it.
+
+    Tokens are summed by ``BINS`` bins of that order first, so only the documents of the one bin of each
+    cell in which the cut falls are put in order.
+    """
+    spark = measured.sparkSession
+    rates = spark.createDataFrame(sorted(mix.rates.items()), "cell string, rate double").select("cell", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
+    draw = F.xxhash64("doc_id", F.lit(7))
+    rows = measured.where("cell is not null").withColumns({"draw": draw, "bin": F.pmod(draw, F.lit(BINS)).cast("int")})
+    sums = rows.groupBy("cell", "bin").agg(F.sum("tokens").alias("t"))
+    up_to = Window.partitionBy("cell").orderBy("bin")
+    sums = sums.withColumns({"after": F.sum("t").over(up_to), "all": F.sum("t").over(Window.partitionBy("cell"))}).join(F.broadcast(rates), "cell")
+    # the first bin that goes beyond what is needed, one row a cell: bounded by the target table
+    cut = sums.groupBy("cell").agg(F.first("whole").alias("whole"), F.first(F.col("all") * F.col("part")).alias("need"), F.min(F.when(F.col("after") > F.col("all") * F.col("part"), F.struct("bin", (F.col("after") - F.col("t")).alias("before")))).alias("cut"))
+    cut = cut.select("cell", "whole", "need", F.coalesce("cut.bin", F.lit(BINS)).alias("cut"), F.col("cut.before").alias("before"))
+    rows = rows.join(F.broadcast(cut), "cell")
+    at_cut = rows.where(F.col("bin") == F.col("cut"))
+    within = F.sum("tokens").over(Window.partitionBy("cell").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at_cut = at_cut.withColumn("extra", (F.col("before") + within - F.col("tokens") / 2 <= F.col("need")).cast("int"))
+    others = rows.where(F.col("bin") != F.col("cut")).withColumn("extra", (F.col("bin") < F.col("cut")).cast("int"))
+    used = at_cut.unionByName(others).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    return used.where("copies > 0").select("doc_id", "source", "tokens", "copies", "membership")
+
+
+REPORT = "source string, target_share double, target_tokens double, source_tokens bigint, rate double, short boolean"
 
 
 def report(documents: DataFrame, mix_targets: DataFrame, vocabulary: bytes | None = None) -> DataFrame:
-    """One row for each target source: target, tokens it has, uses of each of its documents, expected
-    share reached, and whether its repeats can't reach its share."""
+    """One row for each target source: target, tokens it has, uses of each of its documents, whether its
+    repeats can't reach its share, and what the selection holds: tokens of its own documents, tokens with
+    the memberships of unlabelled ones, their share of the targets' total and of the selection."""
+    measured, mix, targets = plan_mix(documents, mix_targets, vocabulary)
+    used = choose(measured, mix)
+    amount = F.col("tokens") * F.col("copies")
+    sums = [F.coalesce(F.sum(F.when(F.col("source") == s, amount)), F.lit(0)).alias(f"o{i}") for i, (s, _, _) in enumerate(targets)]
+    sums += [F.coalesce(F.sum(amount * F.try_element_at("membership", F.lit(i + 1))), F.lit(0.0)).alias(f"m{i}") for i in range(len(targets))]
+    held = used.agg(F.coalesce(F.sum(amount), F.lit(0)).alias("whole"), *sums).first()
+    rows = []
+    for i, row in enumerate(mix.sources):
+        own, expected = int(held[f"o{i}"]), float(held[f"o{i}"] + held[f"m{i}"])
+        rows.append((*row, own, expected, expected / max(mix.total, 1), expected / max(held["whole"], 1)))
+    return documents.sparkSession.createDataFrame(rows, REPORT + ", own_tokens bigint, reached_tokens double, reached_share double, selection_share double")
+
+
+def short_sources(documents: DataFrame, mix_targets: DataFrame, vocabulary: bytes | None = None) -> DataFrame:
+    """``(source)`` of the sources whose documents the fit uses as often as they may be, and yet short of
+    the target."""
     _, mix, _ = plan_mix(documents, mix_targets, vocabulary)
-    return documents.sparkSession.createDataFrame(mix.report, REPORT)
+    return documents.sparkSession.createDataFrame([(r[0],) for r in mix.sources if r[-1]], "source string")
 
 
 def select(documents: DataFrame, mix_targets: DataFrame, vocabulary: bytes | None = None) -> DataFrame:
-    """``(doc_id, source, tokens, copies)`` of each document used: the whole part of its cell's rate,
-    plus one more for the share of its documents (by a hash of the id) that the rest asks for."""
+    """``(doc_id, source, tokens, copies)`` of each document used, see ``choose``."""
     measured, mix, _ = plan_mix(documents, mix_targets, vocabulary)
-    rates = documents.sparkSession.createDataFrame(sorted(mix.rates.items()), "cell string, rate double")
-    draw = (F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1))).cast("double") / F.lit(float(1 << 30))
-    copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("bigint")).cast("int")
-    used = measured.join(F.broadcast(rates), "cell")  # one row a cell: bounded by the target table
-    return used.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
+    return choose(measured, mix).drop("membership")
 
 
 def shares(selection: DataFrame, mix_targets: DataFrame) -> DataFrame:

@@ -50,8 +50,7 @@ def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return rows.where("short").select("source")
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -422,6 +422,27 @@ def test_mix(spark):
     assert mixing.shares(chosen, targets).where("source = 'big'").first().tokens > 0
 
 
+@pytest.mark.parametrize("bins", [1, 4, 4096])
+def test_selection_meets_its_targets(spark, monkeypatch, bins):
+    """Every source that can is within half its longest document of its target; the fit decides."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    rng = random.Random(5)
+    rows = [(i, text_of(rng, rng.randrange(5, 90)), rng.choice(["a", "a", "a", "a", "b", "c"])) for i in range(300)] + [(900, None, "a"), (901, " ", None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 2), ("c", 0.3, 4)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in mixing.report(documents, targets).collect()}
+    sizes = {r.doc_id: r.tokens for r in mixing.select(documents, targets).collect()}
+    longest = max(sizes.values())
+    for r in report.values():
+        if r.short:
+            assert r.own_tokens == r.source_tokens * {"a": 1, "b": 2, "c": 4}[r.source]
+        else:
+            assert abs(r.own_tokens - r.target_tokens) <= longest
+    actual = {r.source: r for r in mixing.shares(mixing.select(documents, targets), targets).collect() if r.source}
+    assert all(actual[s].tokens == r.own_tokens for s, r in report.items())
+    assert {r.source for r in mixing.short_sources(documents, targets).collect()} == {s for s, r in report.items() if r.short}
+
+
 # -- 8 -------------------------------------------------------------------------------------------
 
 
