@@ -23,6 +23,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ SHINGLE, ALIKE = 3, 0.6
 #: Sized for the lowest weighted likeness of a pair that is alike by ALIKE, see ``missed``.
 BANDS, ROWS = 48, 3
 #: Counters of the document-frequency sketch: two rows of a fixed width, whatever the corpus.
-WIDTH = 1 << 17
+WIDTH, PARTS = 1 << 17, 64
 #: Least weight as a share of the largest: a text whose near copies fill a good part of the corpus has
 #: frequent shingles only, and these must still outweigh the few that an edit brings in.
 FLOOR = 0.7
@@ -44,6 +45,8 @@ BUCKET, SENT = 512, 64
 #: Records of a shingle that one key of the exact join holds on either side.
 HOT = 20_000
 SLICE = 4_000
+#: Bands of one place; the number of places follows from it.
+PER_PLACE = 500_000
 #: Stands for NULL in whole numbers; no hash of a text is likely to be it.
 NONE = -(2**63)
 FOLDS = ("bits0", "bits1", "bits2")
@@ -76,42 +79,48 @@ def _folded(codes: np.ndarray, record: np.ndarray, records: int) -> np.ndarray:
 
 
 def first_pass(rows: DataFrame) -> DataFrame:
-    """One pass over ``rows (node, text)``: counters of all shingles' document frequencies (``slot,
-    n``; slot ``2 * WIDTH`` counts the rows) and what is kept of each text (``node, size, bits``).
+    """One pass over ``rows (node, text)``: counters of all shingles' document frequencies (``part,
+    counts``, the last counter of the last part counts the rows) and what is kept of each text (``node,
+    size, bits``).
 
-    Each task sends at most ``2 * WIDTH + 1`` counters.
+    Each task sends ``2 * WIDTH`` counters, in ``PARTS`` parts.
     """
 
     def run(batches):
-        total = np.zeros(2 * WIDTH + 1, np.int64)
-        names = ["slot", "n", "node", "size", *FOLDS]
+        total = np.zeros(2 * WIDTH + PARTS, np.int64)
+        names = ["part", "counts", "node", "size", *FOLDS]
         for batch in slices(batches, SLICE):
             total[-1] += batch.num_rows
             node = batch.column(0).to_numpy()
             doc, codes = shingles(batch.column(1).to_pylist(), SHINGLE)
             for slot in _slots(codes):
-                total += np.bincount(slot, minlength=2 * WIDTH + 1)
+                total += np.bincount(slot, minlength=len(total))
             starts = starts_of(doc)
             if not len(starts):
                 continue
             sizes = np.diff(np.r_[starts, len(doc)])
             bits = _folded(codes, np.repeat(np.arange(len(starts)), sizes), len(starts))
-            none = pa.nulls(len(starts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(node[doc[starts]]), pa.array(sizes.astype(np.int32)), *(pa.array(bits[:, i]) for i in range(3))], names=names)
-        used = np.flatnonzero(total)
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), none, pa.nulls(len(used), pa.int32()), none, none, none], names=names)
+            columns = [pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.binary()), pa.array(node[doc[starts]]), pa.array(sizes.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, i]) for i in range(3))], names=names)
+        if total[-1]:
+            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(PARTS, -1)], pa.binary()), *none], names=names)
 
-    return rows.mapInArrow(run, "slot bigint, n bigint, node bigint, size int, bits0 bigint, bits1 bigint, bits2 bigint")
+    return rows.mapInArrow(run, "part int, counts binary, node bigint, size int, bits0 bigint, bits1 bigint, bits2 bigint")
 
 
 def frequency_sketch(passed: DataFrame) -> tuple[np.ndarray, int]:
     """Count sketch of the document frequencies of ``first_pass``, and the number of rows; it has one
     size for any corpus."""
-    found = passed.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(2 * WIDTH + 1, np.int64)
-    sketch[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return sketch[:-1], int(sketch[-1])
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "counts": [sum(np.frombuffer(x, np.int64) for x in frame["counts"]).tobytes()]})
+
+    found = passed.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    sketch = np.zeros((PARTS, (2 * WIDTH + PARTS) // PARTS), np.int64)
+    for row in found:
+        sketch[row.part] = np.frombuffer(bytes(row.counts), np.int64)
+    return sketch.ravel()[: 2 * WIDTH], int(sketch[-1, -1])
 
 
 def inverse_frequency(sketch: np.ndarray, codes: np.ndarray, documents: int) -> np.ndarray:
@@ -207,10 +216,11 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame:
-    """``(band, node, head, crowd)`` of ``nodes (node, text)``. Texts that repeat in a batch are sampled
-    once. Of a band that more than ``SENT`` records of a slice share, the others get a band of their own,
+    """``(place, bands, nodes, heads, crowds)`` of ``nodes (node, text)``: the bands of a slice, packed for
+    each of the ``places`` that bands are spread over. Texts that repeat in a batch are sampled once. Of a band that more than ``SENT`` records of a slice share, the others get a band of their own,
     the slice's first record as ``head`` and, like those sent, the band as ``crowd``."""
     shared = nodes.sparkSession.sparkContext.broadcast(sketch)
+    places = np.uint64(max(12, documents * BANDS // PER_PLACE))
 
     def run(batches):
         counts = shared.value
@@ -223,24 +233,36 @@ def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame
                 continue
             which, values = signatures(doc, codes, inverse_frequency(counts, codes, documents), BANDS * ROWS)
             keys, ids = band_keys(values, ROWS).ravel(), np.repeat(node[which], BANDS)
-            head, crowd = pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())
+            head, crowd = np.full(len(keys), NONE), np.full(len(keys), NONE)
             if len(which) > SENT:
-                order = np.lexsort((ids, keys))
+                order = np.argsort(keys, kind="stable")
                 starts = starts_of(keys[order])
                 sizes = np.diff(np.r_[starts, len(keys)])
                 if sizes.max() > SENT:
                     row = np.repeat(np.arange(len(starts)), sizes)
-                    full, rest = order[(sizes > SENT)[row]], order[np.arange(len(keys)) - starts[row] >= SENT]
-                    lead = np.empty(len(keys), np.int64)
-                    lead[order] = ids[order][starts][row]
-                    is_full, is_rest = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-                    is_full[full], is_rest[rest] = True, True
-                    crowd = pa.array(keys.view(np.int64), mask=~is_full)
-                    head = pa.array(lead, mask=~is_rest)
-                    keys = np.where(is_rest, mix64(keys ^ mix64(ids.view(np.uint64))), keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), head, crowd], names=["band", "node", "head", "crowd"])
-
-    return nodes.mapInArrow(run, "band bigint, node bigint, head bigint, crowd bigint")
+                    full, late = (sizes > SENT)[row], np.arange(len(keys)) - starts[row] >= SENT
+                    crowd[order[full]] = keys.view(np.int64)[order[full]]
+                    head[order[late]] = ids[order[starts[row[late]]]]
+                    keys[order[late]] = mix64(keys[order[late]] ^ mix64(ids[order[late]].view(np.uint64)))
+            place = (mix64(keys) % places).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order])) + 1
+            split = lambda values: [x.tobytes() for x in np.split(values[order], cuts)]
+            columns = [split(keys.view(np.int64)), split(ids)]
+            columns += [split(x) if x.max() != NONE else [None] * len(columns[0]) for x in (head, crowd)]  # hardly any slice has these
+            yield pa.RecordBatch.from_arrays([pa.array(place[order[np.r_[0, cuts]]]), *(pa.array(c, pa.binary()) for c in columns)], names=["place", "bands", "nodes", "heads", "crowds"])
+
+    return nodes.mapInArrow(run, "place int, bands binary, nodes binary, heads binary, crowds binary")
+
+
+def unpacked(batches) -> list[np.ndarray]:
+    """Bands, nodes, heads and crowds of all packed rows of a partition."""
+    columns = [[] for _ in range(4)]
+    for batch in batches:
+        for bands, *others in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for column, packed in zip(columns, (bands, *others), strict=True):
+                column.append(np.frombuffer(packed, np.int64) if packed is not None else np.full(len(bands) // 8, NONE))
+    return [np.concatenate([np.empty(0, np.int64), *c]) for c in columns]
 
 
 def _whole(batches, kinds: tuple) -> list[np.ndarray]:
@@ -255,7 +277,7 @@ def bucketed(bands: DataFrame) -> DataFrame:
     a band is, since each slice sends at most ``SENT`` of its records on."""
 
     def run(batches):
-        band, node, head, crowd = _whole(batches, (np.int64,) * 4)
+        band, node, head, crowd = unpacked(batches)
         for again in range(2):  # then without texts that several slices sent
             order = np.lexsort((node, band)) if again else np.argsort(band)
             starts = starts_of(band[order])
@@ -274,7 +296,7 @@ def bucketed(bands: DataFrame) -> DataFrame:
             columns += [pa.array(x[some], mask=x[some] == NONE) for x in (head, crowd)]
             yield pa.RecordBatch.from_arrays(columns, names=["band", "part", "node", "head", "crowd"])
 
-    return bands.repartition("band").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
+    return bands.repartition("place").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
 
 
 def may_be_alike(a: str = "a", b: str = "b") -> str:
