@@ -46,7 +46,7 @@ BUCKET, SENT = 512, 64
 HOT = 20_000
 SLICE = 4_000
 #: Bands of one place; the number of places follows from it.
-PER_PLACE = 500_000
+PER_PLACE = 250_000
 #: Stands for NULL in whole numbers; no hash of a text is likely to be it.
 NONE = -(2**63)
 FOLDS = ("bits0", "bits1", "bits2")
@@ -220,7 +220,7 @@ def band_rows(nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame
     each of the ``places`` that bands are spread over. Texts that repeat in a batch are sampled once. Of a band that more than ``SENT`` records of a slice share, the others get a band of their own,
     the slice's first record as ``head`` and, like those sent, the band as ``crowd``."""
     shared = nodes.sparkSession.sparkContext.broadcast(sketch)
-    places = np.uint64(max(12, documents * BANDS // PER_PLACE))
+    places = np.uint64(places_for(documents))
 
     def run(batches):
         counts = shared.value
@@ -271,7 +271,12 @@ def _whole(batches, kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate([np.empty(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds)]
 
 
-def bucketed(bands: DataFrame) -> DataFrame:
+def places_for(documents: int) -> int:
+    """Places that the bands of so many documents are spread over."""
+    return max(12, documents * BANDS // PER_PLACE)
+
+
+def bucketed(bands: DataFrame, places: int = 12) -> DataFrame:
     """``(band, part, node, head, crowd)`` without the records alone in their bucket; ``crowd`` is set
     where a bucket leaves pairs out. A task holds its share of the bands, which stays small however hot
     a band is, since each slice sends at most ``SENT`` of its records on."""
@@ -296,7 +301,7 @@ def bucketed(bands: DataFrame) -> DataFrame:
             columns += [pa.array(x[some], mask=x[some] == NONE) for x in (head, crowd)]
             yield pa.RecordBatch.from_arrays(columns, names=["band", "part", "node", "head", "crowd"])
 
-    return bands.repartition("place").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
+    return bands.repartition(places, "place").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
 
 
 def may_be_alike(a: str = "a", b: str = "b") -> str:
@@ -472,7 +477,7 @@ class NearDuplicates:
         passed = materialize(first_pass(texts), "first")
         self.sketch, self.documents = frequency_sketch(passed)
         kept = passed.where("node is not null").select("node", "size", *FOLDS).dropDuplicates(["node"])
-        buckets = materialize(bucketed(band_rows(texts, self.sketch, self.documents)), "buckets")
+        buckets = materialize(bucketed(band_rows(texts, self.sketch, self.documents), places_for(self.documents)), "buckets")
         pairs = candidate_pairs(buckets, kept)
         heads = self.rows.groupBy("node").agg(F.min("id").alias("rep"))
         named = pairs.join(heads.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a")
