@@ -57,9 +57,8 @@ NEARV = f"""near AS (SELECT a.vec_id AS query_id, b.vec_id, b.chunk_id, {COS} AS
 EARLIER = """earlier AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY was NULLS LAST, chunk_id) AS INT) AS rank FROM
   (SELECT query_vec_id AS query_id, chunk_id, min(rank) AS was FROM dense_hits WHERE query_vec_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL))"""
 VECHITS = f"""{UNIT}, {NEARV},
-  top30 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, chunk_id || '|' || vec_id) AS r FROM near WHERE chunk_id IS NOT NULL),
-  vechits AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY was, chunk_id) AS INT) AS rank FROM
-    (SELECT query_id, chunk_id, min(r) AS was FROM top30 WHERE r <= 30 GROUP BY ALL)) WHERE rank <= 10)"""
+  vechits AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best DESC, chunk_id) AS INT) AS rank FROM
+    (SELECT query_id, chunk_id, max(round(similarity, 12)) AS best FROM near WHERE chunk_id IS NOT NULL GROUP BY ALL)) WHERE rank <= 10)"""
 FUSED = """fused AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.rank AS dense_rank, s.rank AS sparse_rank,
     coalesce(0.7 / (60 + d.rank), 0.0) AS dc, coalesce(0.3 / (60 + s.rank), 0.0) AS sc FROM vechits d FULL JOIN earlier s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dc + sc, 12) DESC, least(dense_rank, sparse_rank), dense_rank NULLS LAST, sparse_rank NULLS LAST, chunk_id) AS rank FROM fused)"""

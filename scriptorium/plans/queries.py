@@ -58,11 +58,7 @@ def vector_hits(spark: SparkSession, d: str) -> DataFrame:
     """Chunks nearest to every vector whose id is divisible by 100, by their best vector."""
     vectors = unit_vectors(spark, d)
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
-    items = vectors.where("chunk_id is not null").select(F.concat_ws("|", "chunk_id", F.col("vec_id").cast("string")).alias("chunk_id"), "vector")
-    near = R.dense_topk(asked, items, 30).select("query_id", F.split_part("chunk_id", F.lit("|"), F.lit(1)).alias("chunk_id"), "rank")
-    best = near.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("was"))
-    order = Window.partitionBy("query_id").orderBy("was", "chunk_id")
-    return best.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", "chunk_id", "rank")
+    return R.dense_topk(asked, vectors.where("chunk_id is not null").select("chunk_id", "vector"), 10).select("query_id", "chunk_id", "rank")
 
 
 def made_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +120,7 @@ def tokenize_docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def term_stats_idf(s: SparkSession, d: str) -> DataFrame:
-    chunks = corpus(s, d)
-    return R.term_weights(R.postings(chunks), R.corpus_size(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.sparse_index(corpus(s, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:

@@ -52,13 +52,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is used and removed
-    at exit.
+    Only where the session names none and runs in one process (tests) a temporary folder is used and
+    removed at exit; on a cluster that is an error, since executors could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(context, "_scriptorium_dir", None):
         folder = tempfile.mkdtemp(prefix="scriptorium-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -80,7 +82,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scriptorium_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more; others stay."""
+    for rows in tables:
+        path = rows.__dict__.get("scriptorium_path")
+        if path:
+            delete(rows.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

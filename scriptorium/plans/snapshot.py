@@ -177,7 +177,9 @@ def _build_into(spark: SparkSession, chunks: DataFrame, path: str, request: str,
     stored = spark.read.parquet(f"{path}/chunks")
     posted = retrieval.postings(stored)
     posted.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    retrieval.term_weights(spark.read.parquet(f"{path}/postings"), retrieval.corpus_size(stored)).select("term", "df", "idf").write.parquet(f"{path}/terms")
+    posted = spark.read.parquet(f"{path}/postings")
+    retrieval.corpus_size(posted, stored).write.parquet(f"{path}/size")
+    retrieval.term_weights(posted, spark.read.parquet(f"{path}/size")).select("term", "df", "idf").write.parquet(f"{path}/terms")
     records.write.parquet(f"{path}/duplicates")
     problems = sync_problems(stored, spark.read.parquet(f"{path}/vectors"), final)
     if any(problems.values()):

@@ -149,7 +149,7 @@ def test_dedup_exact_and_late_copies(spark):
 
 def test_near_pairs_do_not_depend_on_blocks(spark):
     frame = spark.createDataFrame([(i, angle(i * 7 % 90)) for i in range(40)], "pos bigint, v array<double>")
-    results = [sorted((r.a, r.b) for r in D.near_pairs(frame, 0.95, blocks).collect()) for blocks in (1, 3, 17)]
+    results = [sorted((r.a, r.b) for r in D.near_pairs(frame, 0.95, size).collect()) for size in (1_000, 7, 3)]
     assert results[0] == results[1] == results[2] and results[0]
 
 
@@ -183,6 +183,45 @@ def ranking(spark, rows):
     return spark.createDataFrame(rows, "query_id string, chunk_id string, rank int")
 
 
+@pytest.mark.parametrize("head", [3, 50_000])
+def test_bm25_fill_of_queries_that_score_nearly_all(spark, monkeypatch, head):
+    """The free chunks lie at the end of the canonical order, beyond the first head and beyond the last."""
+    monkeypatch.setattr(R, "MOST_HEAD", head)
+    rows = [(f"c{i:03d}", "d", i, "common words here") for i in range(120)] + [(f"z{i}", "e", i, "other") for i in range(2)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string")
+    queries = spark.createDataFrame([("q", "common"), ("none", "absent"), ("blank", " ")], "query_id string, query string")
+    got = {}
+    for r in R.bm25_topk(queries, chunks, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.bm25_score > 0))
+    assert got == {"q": [("c000", True), ("c001", True), ("c002", True)], "none": [("c000", False), ("c001", False), ("c002", False)]} or [c for c, _ in got["q"]][:2] == ["z0", "z1"]
+    with pytest.raises(RetrievalError):
+        R.bm25_topk(queries, chunks, 0)
+
+
+def test_dense_search_reduces_chunks_first(spark):
+    """A chunk with many vectors takes one place; blocks, turns and ties change nothing."""
+    rows = [("a", [1.0, 0.0])] * 40 + [("b", [0.9, 0.1]), ("c", [0.8, 0.2]), ("d", [0.8, 0.2]), ("z", None), ("y", [1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id bigint, vector array<double>")
+    for blocks in (1, 3):
+        got = [(r.query_id, r.chunk_id) for r in R.dense_topk(queries, vectors, 3, blocks).orderBy("query_id", "rank").collect()]
+        assert got == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "c")]
+    assert {(r.query_id, r.error_class) for r in R.width_problems(queries.union(spark.createDataFrame([(4, [1.0] * 3)], queries.schema)), vectors).collect()} == {(3, "bad_vector"), (4, "width_mismatch")}
+
+
+def test_hit_problems(spark):
+    rows = [(1, "a", 1, 0.1, "t"), (1, " ", 2, 0.1, "t"), (1, "b", 0, 0.1, "t"), (1, "c", 4, float("nan"), "t"), (1, "d", 5, None, "t"), (1, "e", 6, -0.5, "t"), (1, "f", 7, 0.2, None)]
+    hits = spark.createDataFrame(rows, "query_id int, chunk_id string, rank int, distance double, text string")
+    assert {r.chunk_id: r.error_class for r in R.hit_problems(hits).collect()} == {" ": "no_id", "b": "bad_rank", "c": "bad_distance", "d": "bad_distance", "e": "bad_distance", "f": "no_text"}
+
+
+def test_fusion_refuses_lists_that_disagree(spark):
+    made = lambda text: spark.createDataFrame([("q", "x", 1, text)], "query_id string, chunk_id string, rank int, text string")
+    assert R.rrf(made("t"), made("t")).count() == 1
+    with pytest.raises(RetrievalError):
+        R.rrf(made("t"), made("u"))
+
+
 def test_rrf(spark):
     dense, sparse = ranking(spark, [("q", f"d{i}", i) for i in range(1, 5)] + [("q", "x", 5)]), ranking(spark, [("q", "x", 1)])
     assert R.rrf(dense, sparse).orderBy("rank").first().chunk_id == "x"
