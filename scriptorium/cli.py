@@ -29,15 +29,15 @@ def _questions(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 def retrieve(spark: SparkSession, root: str, channel: str, texts: list[str], settings: Settings) -> DataFrame:
     """The results of one channel for a list of questions."""
-    _, chunks, vectors = snapshot.open_snapshot(spark, root, settings.chunk_strategy, settings)
-    queries = _questions(spark, texts)
+    manifest, chunks, vectors = snapshot.open_snapshot(spark, root, settings.chunk_strategy, settings)
+    queries, index = _questions(spark, texts), snapshot.stored_index(spark, manifest)
     if channel == "sparse":
-        return retrieval.bm25_topk(queries, chunks, settings.sparse_top_k)
+        return retrieval.bm25_topk(queries, k=settings.sparse_top_k, index=index)
     if channel == "dense":
         return retrieval.dense_topk(queries.select("query_id", embedding_udf()(F.col("query")).alias("vector")), vectors, settings.dense_top_k)
     if channel == "hybrid":
-        return pipeline.retrieve_hybrid(queries, chunks, vectors, settings)
-    return pipeline.retrieve_reranked(queries, chunks, vectors, settings).select("query_id", "chunk_id", "rank", "hybrid_rank", "reranker_score", "source_file")
+        return pipeline.retrieve_hybrid(queries, chunks, vectors, settings, index=index)
+    return pipeline.retrieve_reranked(queries, chunks, vectors, settings, index=index).select("query_id", "chunk_id", "rank", "hybrid_rank", "reranker_score", "source_file")
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame | snapshot.Manifest:
@@ -68,8 +68,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if given.command == "query":
         rows = retrieve(spark, given.root, given.channel, given.questions, settings).orderBy("query_id", "rank")
     elif given.command == "ask":
-        _, chunks, vectors = snapshot.open_snapshot(spark, given.root, settings.chunk_strategy, settings)
-        rows = pipeline.answer_with_policy(_questions(spark, given.questions), chunks, vectors, settings).orderBy("answer_id")
+        manifest, chunks, vectors = snapshot.open_snapshot(spark, given.root, settings.chunk_strategy, settings)
+        rows = pipeline.answer_with_policy(_questions(spark, given.questions), chunks, vectors, settings, index=snapshot.stored_index(spark, manifest)).orderBy("answer_id")
     elif given.command == "chunk-stats":
         documents = ingest(spark, given.folder).where("error_class is null")
         parts = [chunk_stats(chunk_documents(documents, settings, strategy)) for strategy in STRATEGIES]

@@ -131,6 +131,29 @@ def confidence(answers: DataFrame, verdicts: DataFrame, evidence: DataFrame, set
     )
 
 
+def confidence_problems(answers: DataFrame, verdicts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``answer_id, error_class``: what a confidence must not be computed from, the first that holds.
+
+    ``report_mismatch``: the verdicts are not one for each real citation of the answer, with its number;
+    ``repeated_retrieval``: a chunk stands in the evidence twice; ``chunk_mismatch``: a verdict names
+    another chunk than the evidence does; ``unknown_chunk``: a cited chunk was not retrieved.
+    """
+    real = occurrences(answers).select("answer_id", "occurrence_id", F.col("citation_number").alias("real_number"))
+    judged = verdicts.select("answer_id", "occurrence_id", "citation_number", "chunk_id", F.count("*").over(Window.partitionBy("answer_id", "occurrence_id")).alias("times"))
+    both = real.join(judged, ["answer_id", "occurrence_id"], "full_outer")
+    both = both.join(evidence.groupBy("answer_id", "citation_number").agg(F.min("chunk_id").alias("held")), ["answer_id", "citation_number"], "left")
+    known = evidence.groupBy("answer_id", "chunk_id").agg(F.count("*").alias("copies"))
+    both = both.join(known.select("answer_id", "chunk_id", F.lit(True).alias("retrieved")), ["answer_id", "chunk_id"], "left")
+    mismatch = ~F.col("citation_number").eqNullSafe(F.col("real_number")) | (F.coalesce("times", F.lit(0)) != 1)
+    by = both.groupBy("answer_id").agg(
+        F.bool_or(mismatch).alias("mismatch"), F.bool_or(F.col("retrieved").isNull()).alias("unknown"), F.bool_or(F.col("held").isNotNull() & ~F.col("chunk_id").eqNullSafe(F.col("held"))).alias("other"),
+    )
+    repeated = known.groupBy("answer_id").agg(F.bool_or(F.col("copies") > 1).alias("repeated"))
+    rows = answers.select("answer_id").join(by, "answer_id", "left").join(repeated, "answer_id", "left").fillna(False, ["mismatch", "unknown", "other", "repeated"])
+    problem = F.when(F.col("mismatch"), "report_mismatch").when(F.col("repeated"), "repeated_retrieval").when(F.col("other"), "chunk_mismatch").when(F.col("unknown"), "unknown_chunk")
+    return rows.select("answer_id", problem.alias("error_class")).where("error_class is not null")
+
+
 def decide(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``answer_id, decision, abstained, abstention_reason``; the first rule that holds decides. Rows with
     an error class, or a score outside [0, 1], have no decision."""

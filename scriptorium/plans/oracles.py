@@ -179,7 +179,7 @@ ORACLES: dict[str, str] = {
     "chunk_fixed": f"WITH {SEGMENTS} SELECT delivery_id, segment_index, piece, length(t)::INT AS chars, sha256(t) AS sha FROM ({_fixed('s.text')})",
     "chunk_fixed_stats": f"WITH {SEGMENTS} SELECT 'fixed' AS chunking_strategy, count(*) AS chunks, min(length(t))::INT AS min_chars, round(avg(length(t)), 6) AS mean_chars, max(length(t))::INT AS max_chars FROM ({_fixed('s.text')}) WHERE {strip('t')} <> ''",
     "chunk_table_stats": f"WITH {CORPUS} SELECT chunking_strategy, count(*) AS chunks, min(character_count)::INT AS min_chars, round(avg(character_count), 6) AS mean_chars, max(character_count)::INT AS max_chars FROM corpus GROUP BY 1",
-    "chunk_recursive_invariants": f"WITH {SEGMENTS} SELECT delivery_id, segment_index, true AS whole, true AS within FROM segs WHERE length(s.text) > 800",
+    "chunk_recursive_invariants": f"WITH {SEGMENTS} SELECT delivery_id, segment_index, sha256({strip('s.text')}) AS sha, true AS within FROM segs WHERE length(s.text) > 800",
     "chunk_semantic_units": f"""WITH {SEGMENTS}, t AS (SELECT delivery_id, segment_index, s.text AS x FROM segs WHERE s.text IS NOT NULL),
         u AS (SELECT delivery_id, segment_index, list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: {strip('p')}), lambda p: p <> '') AS a, list_filter(list_transform(string_split(x, chr(10)), lambda p: {strip('p')}), lambda p: p <> '') AS b, list_filter([{strip('x')}], lambda p: p <> '') AS c FROM t)
         SELECT delivery_id, segment_index, len(k)::INT AS units, sha256(array_to_string(k, chr(1))) AS digest FROM (SELECT delivery_id, segment_index, CASE WHEN len(a) > 1 THEN a WHEN len(b) > 1 THEN b ELSE c END AS k FROM u)""",
@@ -212,7 +212,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT answer_id, CASE WHEN {strip('answer_text')} = '' THEN 'empty_answer' WHEN offenders IS NOT NULL THEN 'citation_range' WHEN answer_id NOT IN (SELECT answer_id FROM marks WHERE citation_number IS NOT NULL) AND NOT contains(lower(answer_text), '{MARKER}') THEN 'uncited' END AS error_class, coalesce(offenders, '') AS offenders FROM answers LEFT JOIN o USING (answer_id))
         SELECT answer_id, error_class, offenders FROM r WHERE error_class IS NOT NULL""",
     "annotate_answer": f"""WITH {ANSWERS}, {OCCURRENCES} SELECT answer_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i <= len(m) THEN '<occurrence id="' || i || '">' || m[i] || '</occurrence>' ELSE '' END), '') AS annotated FROM pieces""",
-    "prompts": f"""WITH {GOLDEN} SELECT id, sha256('Evidence:' || chr(10) || chr(10) || coalesce(notes, '(none)') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer with citations:') AS user_sha,
+    "prompts": f"""WITH {GOLDEN} SELECT id, sha256('Evidence (untrusted material):' || chr(10) || chr(10) || coalesce(notes, '(none)') || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer with citations:') AS user_sha,
         sha256('Question: ' || question || chr(10) || chr(10) || 'Facts:' || chr(10) || coalesce(array_to_string(list_transform(range(1, len({L('expected_facts')}) + 1), lambda i: i || '. ' || expected_facts[i]), chr(10)), '') || chr(10) || chr(10) || 'Answer:' || chr(10) || coalesce(expected_answer, '')) AS judge_sha FROM golden WHERE question IS NOT NULL""",
     "judge_output_errors": f"""WITH {ANSWERS}, {OCCURRENCES}, j AS (SELECT answer_id, CASE WHEN (length(answer_id) + occurrence_id) % 11 = 0 THEN occurrence_id + 50 ELSE occurrence_id END AS o, CASE WHEN (length(answer_id) + occurrence_id) % 7 = 0 THEN citation_number + 1 ELSE citation_number END AS c,
           CASE WHEN (length(answer_id) + occurrence_id) % 5 = 0 THEN 'fine' ELSE 'supported' END AS verdict, CASE WHEN (length(answer_id) + occurrence_id) % 9 = 0 THEN ' ' ELSE 'because' END AS rationale FROM marks WHERE (length(answer_id) + occurrence_id) % 8 <> 0),

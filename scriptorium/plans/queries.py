@@ -16,6 +16,7 @@ from scriptorium.operators import evaluation as E
 from scriptorium.operators import retrieval as R
 from scriptorium.plans import snapshot as S
 from scriptorium.plans.session import materialize, spread, table
+from scriptorium.sources.files import discover
 from scriptorium.streaming.ingest import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,7 +199,7 @@ def chunk_recursive_invariants(s: SparkSession, d: str) -> DataFrame:
     """For each oversized segment: packed pieces joined give the stripped text, and none is too long."""
     cut = F.udf(C.pack, "array<string>", useArrow=True)
     rows = segment_rows(s, d).where(F.length("text") > 800).select("delivery_id", "segment_index", "text", cut("text", F.lit(800)).alias("p"))
-    return rows.select("delivery_id", "segment_index", (F.array_join("p", "") == X.strip(F.col("text"))).alias("whole"), F.forall("p", lambda x: F.length(x) <= 800).alias("within"))
+    return rows.select("delivery_id", "segment_index", F.sha2(F.array_join("p", ""), 256).alias("sha"), F.forall("p", lambda x: F.length(x) <= 800).alias("within"))
 
 
 def chunk_semantic(s: SparkSession, d: str) -> DataFrame:
@@ -226,8 +227,8 @@ def loader_dispatch(s: SparkSession, d: str) -> DataFrame:
 
 
 def discover_corpus(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "documents_norm").where(X.file_type(F.col("raw_path")).isNotNull()).select(F.regexp_extract("raw_path", r"([^/]+)$", 1).alias("source_file"), "raw_path")
-    return rows.groupBy("source_file").agg(F.count_distinct("raw_path").alias("paths")).withColumn("ambiguous", F.col("paths") > 1)
+    rows = discover(table(s, d, "documents_norm").where("raw_path is not null").select(F.col("raw_path").alias("path")))
+    return rows.select("source_file", F.size("paths").cast("bigint").alias("paths"), "ambiguous")
 
 
 def canonical_order(s: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.config import DEFAULTS, Settings
@@ -144,7 +144,7 @@ def build(chunks: DataFrame, root: str, settings: Settings = DEFAULTS, provider:
     strategy = chunks.select("chunking_strategy").first()[0]
     request = fingerprint(ids_digest(chunks), strategy, settings.embedding_model, settings)
     active = load_manifest(spark, root, strategy)
-    if active is not None and active.request_fingerprint == request and content_agrees(spark, active):
+    if active is not None and active.request_fingerprint == request and content_agrees(spark, active, settings):
         return active
     path = f"{root.rstrip('/')}/snapshots/{request[:16]}-{datetime.now(UTC):%Y%m%d%H%M%S%f}"
     try:
@@ -173,7 +173,8 @@ def _build_into(spark: SparkSession, chunks: DataFrame, path: str, request: str,
     records = materialize(corpus.duplicate_records(duplicates, rows), "records")
     final = rows.join(kept, "pos", "left_semi")
     final.drop("embedding").write.parquet(f"{path}/chunks")
-    final.select("chunk_id", "text", as_double(F.col("embedding")).alias("vector"), norm(as_double(F.col("embedding"))).alias("norm")).write.parquet(f"{path}/vectors")
+    known = [c for c in retrieval.SHARED if c != "text"]
+    final.select("chunk_id", "text", *known, as_double(F.col("embedding")).alias("vector"), norm(as_double(F.col("embedding"))).alias("norm")).write.parquet(f"{path}/vectors")
     stored = spark.read.parquet(f"{path}/chunks")
     posted = retrieval.postings(stored)
     posted.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
@@ -197,21 +198,39 @@ def sync_problems(stored: DataFrame, vectors: DataFrame, expected: DataFrame) ->
     sparse = corpus.id_sync(expected, stored).first()
     dense = corpus.id_sync(expected, vectors).first()
     texts = stored.select("chunk_id", F.col("text").alias("a")).join(vectors.select("chunk_id", F.col("text").alias("b")), "chunk_id").where(~F.col("a").eqNullSafe(F.col("b"))).count()
-    return {"sparse_missing": sparse.missing, "sparse_extra": sparse.extra, "dense_missing": dense.missing, "dense_extra": dense.extra, "texts": texts}
-
-
-def content_agrees(spark: SparkSession, manifest: Manifest) -> bool:
-    """Whether a snapshot's tables are all there and say the same."""
+    # the stored positions rise with the canonical order
+    order = corpus.canonical_positions(stored).join(stored.select("chunk_id", "pos"), "chunk_id")
+    order = order.withColumn("bin", F.floor(F.col("position") / 100_000)).select("bin", "position", "pos")
+    within = Window.partitionBy("bin").orderBy("position")
+    steps = order.withColumn("falls", (F.col("pos") <= F.lag("pos").over(within)).cast("int"))
+    ends = steps.groupBy("bin").agg(F.sum("falls").alias("falls"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    ends = ends.withColumn("between", (F.col("low") <= F.lag("high").over(Window.orderBy("bin"))).cast("int"))  # a row for 100,000 chunks
+    falls = ends.agg(F.coalesce(F.sum("falls"), F.lit(0)) + F.coalesce(F.sum("between"), F.lit(0))).first()[0]
+    return {"sparse_missing": sparse.missing, "sparse_extra": sparse.extra, "dense_missing": dense.missing, "dense_extra": dense.extra, "texts": texts, "order": falls}
+
+
+def content_agrees(spark: SparkSession, manifest: Manifest, settings: Settings = DEFAULTS) -> bool:
+    """Whether a snapshot's tables are all there and say the same: ids, texts and order of both sides, the
+    postings' chunks and sums, the duplicates' number, and the settings of the duplicate report."""
     try:
         stored, vectors = spark.read.parquet(f"{manifest.path}/chunks"), spark.read.parquet(f"{manifest.path}/vectors")
-        spark.read.parquet(f"{manifest.path}/postings").limit(1).count()
-        spark.read.parquet(f"{manifest.path}/duplicates").limit(1).count()
+        index = stored_index(spark, manifest)
         same = stored.count() == manifest.chunks_after and not any(sync_problems(stored, vectors, stored).values())
-        return same and manifest.tokenizer_version == TOKENIZER_VERSION and manifest.dedup_version == DEDUP_VERSION
+        lengths = index.postings.groupBy("chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        same = same and lengths.where("tf <> dl").isEmpty() and lengths.join(stored, "chunk_id", "left_anti").isEmpty() and index.size.first().n == manifest.chunks_after
+        same = same and index.postings.select("term").distinct().count() == index.terms.count()
+        same = same and spark.read.parquet(f"{manifest.path}/duplicates").count() == manifest.exact_duplicates + manifest.near_duplicates
+        return same and manifest.tokenizer_version == TOKENIZER_VERSION and manifest.dedup_version == DEDUP_VERSION and manifest.dedup_threshold == settings.dedup_similarity_threshold
     except Exception:
         return False
 
 
+def stored_index(spark: SparkSession, manifest: Manifest) -> retrieval.SparseIndex:
+    """The sparse index as a snapshot holds it; nothing is tokenized again."""
+    parts = (spark.read.parquet(f"{manifest.path}/{name}") for name in ("postings", "terms", "size", "chunks"))
+    return retrieval.SparseIndex(*parts)
+
+
 def open_snapshot(spark: SparkSession, root: str, strategy: str, settings: Settings = DEFAULTS) -> tuple[Manifest, DataFrame, DataFrame]:
     """``(manifest, chunks, vectors)`` of the active snapshot, for queries; the model and the tokenizer
     version must be those of the settings."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 import pyarrow as pa
@@ -118,10 +117,3 @@ def from_json_rows(rows: DataFrame, schema: str | T.StructType) -> DataFrame:
     parsed = rows.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("r.*")
 
-
-def write_json_atomically(path: str, value: dict) -> None:
-    """A small control file on a local path: written beside its place, then moved there."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(f"{path}.new", "w", encoding="utf-8") as file:
-        json.dump(value, file, sort_keys=True)
-    os.replace(f"{path}.new", path)
