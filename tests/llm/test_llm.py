@@ -472,7 +472,7 @@ def test_selection_meets_its_targets(spark, monkeypatch, bins):
     ],
 )
 def test_personal_information(text, want):
-    found = [(s.kind, text[s.start : s.end]) for s in pii.spans(text)]
+    found = [(s.kind, text[s.start : s.end]) for s in pii.spans(text, pii.FamilyNames(("berg", "quist", "sson", "tzer", "vik")))]
     assert found == want
 
 
@@ -513,10 +513,45 @@ def test_street_anchors_hold_all_addresses():
         ("Reviewed by Security Team. Plan B. Restart Silver Lane; approved by the board", []),
     ],
 )
-def test_names_of_any_ending(text, want, monkeypatch):
-    for endings in (pii.ENDINGS, ()):
-        monkeypatch.setattr(pii, "ENDINGS", endings)
-        assert [text[s.start : s.end] for s in pii.spans(text) if s.kind == "name"] == want
+def test_names_of_any_ending(text, want):
+    for endings in (("berg", "sson", "vik"), ()):
+        assert [text[s.start : s.end] for s in pii.spans(text, pii.FamilyNames(endings)) if s.kind == "name"] == want
+
+
+@pytest.mark.parametrize("text", ["We met John Smith today.", "Ask Maria Garcia.", "by Pierre Dupont in May", "Anna Kowalska said so", "Hans Müller ist da", "signed by Nguyen Van Anh"])
+def test_ordinary_names(text):
+    want = re.search(r"John Smith|Maria Garcia|Pierre Dupont|Anna Kowalska|Hans Müller|Nguyen Van Anh", text)[0]
+    assert [text[s.start : s.end] for s in pii.spans(text) if s.kind == "name"] == [want]
+
+
+def test_endings_are_learned_from_the_corpus():
+    rng = random.Random(3)
+    stems = ["Kel", "Mar", "Tor", "Bran", "Ost", "Vel", "Dra", "Pel", "Fen", "Lum"]
+    family = [s + e for s in stems for e in ("grove", "dotter")]
+    texts = [f"Approved by Orla {rng.choice(family)}. The lesson was long, and the reason for the season is the mission." for _ in range(60)]
+    known = pii.learn_endings(texts)
+    assert known.endings and all(any(f.lower().endswith(e) for e in known.endings) for f in family) and not any("lesson".endswith(e) for e in known.endings)
+    text = "later Yara Bramgrove and Ulf Hindotter came by train"
+    assert [text[s.start : s.end] for s in pii.spans(text, known)] == ["Yara Bramgrove", "Ulf Hindotter"] and pii.spans(text) == []
+    for alone in ("The train to Bramgrove leaves.", "Zuckergrove is far from Heidelgrove."):
+        assert pii.spans(alone, known) == []
+    assert pii.learn_endings([]) == pii.learn_endings([None, ""]) == pii.NO_ENDINGS
+
+
+def test_spans_stay_disjoint():
+    rng = random.Random(9)
+    for _ in range(50):
+        groups = [[pii.Span("name", a := rng.randrange(200), a + rng.randrange(1, 9)) for _ in range(30)] for _ in range(3)]
+        want = []
+        for s in (s for g in groups for s in g):
+            if not any(k.start < s.end and s.start < k.end for k in want):
+                want.append(s)
+        assert pii.disjoint(groups) == sorted(want, key=lambda s: s.start)
+
+
+def test_identifier_across_two_rewrites():
+    text = "x ｊｏｅ.b [at] foo\u200bmail dot test y"
+    assert [text[s.start : s.end] for s in pii.spans(text)] == ["ｊｏｅ.b [at] foo\u200bmail dot test"] or pii.redact(text).startswith("x [EMAIL]")
 
 
 def test_redaction_leaves_the_rest(spark):
