@@ -204,3 +204,16 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: bytes | None =
     kind = df.schema[key].dataType.simpleString()
     rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     return rows.mapInArrow(encode, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+
+
+def decode_column(df: DataFrame, key: str, ids: str, vocabulary: bytes | None = None) -> DataFrame:
+    """``(key, text)`` of encoded rows; the way back of ``encode_column``, NULL ids give the empty text."""
+    content = df.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())
+
+    def decode(batches):
+        automaton = compile_vocabulary(content.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([automaton.decode(i or []) for i in batch.column(1).to_pylist()], pa.string())], names=["k", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(decode, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -43,6 +43,8 @@ HOT_AXIS = 1 << 17
 #: looked at in the second pass unless the first found the query's own text.
 FIRST_PASS = 256
 SLICE = 4_000
+#: Candidate pairs that one group of a bucket scores.
+PART_PAIRS = 200_000
 #: Stands for the texts that a query has not looked at yet.
 MORE = -(2**63) + 1
 #: What a cell keeps of each of its texts: hash, number of coordinates, the vector folded to 192 bits.
@@ -248,8 +250,12 @@ class TextHistory:
         return spread.groupBy("bucket").applyInPandas(again, schema)
 
     def _score(self, pairs: DataFrame, gen: int) -> DataFrame:
-        """``(q, x, similarity)`` of candidate pairs by their full vectors, read bucket by bucket."""
+        """``(q, x, similarity)`` of candidate pairs by their full vectors, read bucket by bucket; a bucket
+        of many pairs is cut into parts of about ``PART_PAIRS``."""
         path, buckets = self.path, self.buckets
+        pairs = materialize(pairs.select("q", "x"), "open-pairs")
+        parts = max(1, -(-pairs.count() // (buckets * PART_PAIRS)))
+        part = F.pmod(F.xxhash64("q", "x"), F.lit(parts)).alias("part")
 
         def attach(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             vectors = _vectors(path, int(key[0]), np.unique(frame["q"].to_numpy()), only=gen)
@@ -262,8 +268,8 @@ class TextHistory:
             values = [likeness(np.frombuffer(v, np.uint32), vectors[x]) for v, x in zip(frame["vector"], frame["x"], strict=True)]
             return pd.DataFrame({"q": frame["q"], "x": frame["x"], "similarity": np.array(values, np.float64)})
 
-        with_vector = pairs.select("q", "x", F.pmod("q", F.lit(buckets)).alias("hq")).groupBy("hq").applyInPandas(attach, "q bigint, x bigint, vector binary")
-        return with_vector.withColumn("hx", F.pmod("x", F.lit(buckets))).groupBy("hx").applyInPandas(score, "q bigint, x bigint, similarity double")
+        with_vector = pairs.select("q", "x", F.pmod("q", F.lit(buckets)).alias("hq"), part).groupBy("hq", "part").applyInPandas(attach, "q bigint, x bigint, vector binary")
+        return with_vector.select("q", "x", "vector", F.pmod("x", F.lit(buckets)).alias("hx"), part).groupBy("hx", "part").applyInPandas(score, "q bigint, x bigint, similarity double")
 
     def rejected(self, before: int | None = None) -> DataFrame:
         """``(gen, node, x, similarity)`` of the texts turned down so far."""
@@ -288,7 +294,7 @@ class TextHistory:
 
         def matches(queries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
             seen = materialize(self._candidates(gen, queries).groupBy("q", "x").agg(F.max("more").alias("more")), "candidates")
-            same = seen.where("q = x").select("q", "x", F.lit(1.0).alias("similarity"))
+            same = seen.where("q = x").select("q", "x", F.lit(1.0).alias("similarity")).join(no_longer, "x", "left_anti").select("q", "x", "similarity")
             others = seen.where((F.col("q") != F.col("x")) & (F.col("x") != MORE)).join(no_longer, "x", "left_anti").join(same.select("q"), "q", "left_anti")
             hits = self._score(others, gen).where(F.col("similarity") >= ALIKE)
             return materialize(same.union(hits), "matches"), seen
@@ -301,7 +307,7 @@ class TextHistory:
             open_ = materialize(open_, "second")
             hits = hits.union(matches(open_)[0])  # both passes may give a pair; the best is taken below
         best = hits.groupBy(F.col("q").alias("node")).agg(F.max_by("x", F.struct("similarity", F.col("q") == F.col("x"), -F.col("x"))).alias("x"), F.max("similarity").alias("similarity"))
-        best.select("node", "x", "similarity").coalesce(4).write.mode("overwrite").parquet(f"{self.path}/rejected/gen={gen}")
+        best.select("node", "x", "similarity").write.mode("overwrite").parquet(f"{self.path}/rejected/gen={gen}")
         return self.rejected().where(F.col("gen") == gen).select("node", "x", "similarity")
 
 

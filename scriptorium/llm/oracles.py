@@ -8,7 +8,7 @@ LIKE = r"""words AS (SELECT chunk_row, batch_no, regexp_extract_all(lower(text),
   grams AS (SELECT DISTINCT chunk_row, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT chunk_row, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
   sizes AS (SELECT chunk_row, count(*) AS n FROM grams GROUP BY 1),
   shared AS (SELECT a.chunk_row AS a, b.chunk_row AS b, count(*) AS s FROM grams a JOIN grams b ON a.g = b.g AND a.chunk_row < b.chunk_row GROUP BY ALL),
-  alike AS (SELECT a, b FROM shared JOIN sizes x ON a = x.chunk_row JOIN sizes y ON b = y.chunk_row WHERE s >= 0.6 * (x.n + y.n - s))"""
+  alike AS (SELECT a, b, s / (x.n + y.n - s)::DOUBLE AS likeness FROM shared JOIN sizes x ON a = x.chunk_row JOIN sizes y ON b = y.chunk_row WHERE s >= 0.6 * (x.n + y.n - s))"""
 VECTORS = """good AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE embedding IS NOT NULL AND len(embedding) = 64
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
   units AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM good),
@@ -17,18 +17,22 @@ VECTORS = """good AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM chunk
 
 
 def _batches() -> str:
-    parts = ["b AS (SELECT chunk_row, batch_no FROM chunks), link AS (SELECT a AS x, b AS y FROM alike UNION ALL SELECT b, a FROM alike), ok0 AS (SELECT chunk_row FROM b WHERE batch_no = 0)"]
+    parts = ["b AS (SELECT chunk_row, batch_no FROM chunks), link AS (SELECT a AS x, b AS y, likeness FROM alike UNION ALL SELECT b, a, likeness FROM alike), ok0 AS (SELECT chunk_row FROM b WHERE batch_no = 0)"]
     for i in range(1, 5):
-        parts.append(f"bad{i} AS (SELECT DISTINCT b.chunk_row FROM b JOIN link ON b.chunk_row = x JOIN ok{i - 1} o ON o.chunk_row = y WHERE batch_no = {i})")
+        parts.append(f"bad{i} AS (SELECT b.chunk_row, max(likeness) AS likeness FROM b JOIN link ON b.chunk_row = x JOIN ok{i - 1} o ON o.chunk_row = y WHERE batch_no = {i} GROUP BY b.chunk_row)")
         parts.append(f"ok{i} AS (SELECT chunk_row FROM ok{i - 1} UNION ALL SELECT chunk_row FROM b WHERE batch_no = {i} AND chunk_row NOT IN (SELECT chunk_row FROM bad{i}))")
     return ", ".join(parts)
 
 
 HEX = "regexp_extract(lower(document_id), '([0-9a-f]{64})[^0-9a-f]*$', 1)"
+TRIMMED = "trim(segments[i].text, chr(32) || chr(9) || chr(13) || chr(10))"
 ORACLES: dict[str, str] = {
+    "p5_joined": f"SELECT delivery_id, CAST(i - 1 AS INT) AS segment_index, sha256(t) AS sha, true AS within, true AS overlap FROM (SELECT delivery_id, i, {TRIMMED} AS t FROM (SELECT delivery_id, segments, unnest(range(1, len(segments) + 1)) AS i FROM documents_norm)) WHERE length(t) > 1000",
+    "p6_roundtrip": "SELECT doc_id, length(coalesce(text, ''))::INT AS chars, sha256(coalesce(text, '')) AS sha FROM documents",
     "p1_found": f"WITH {LIKE}, {_batches()}, h AS (SELECT delivery_id, batch_no, {HEX} AS hex FROM documents_norm WHERE document_id IS NOT NULL) "
     "SELECT 'document' AS record_kind, delivery_id AS record_key FROM h WHERE hex <> '' AND batch_no > (SELECT min(batch_no) FROM h g WHERE g.hex = h.hex) UNION ALL "
     + " UNION ALL ".join(f"SELECT 'chunk', chunk_row FROM bad{i}" for i in range(1, 5)),
+    "p1_matches": f"WITH {LIKE}, {_batches()} " + " UNION ALL ".join(f"SELECT chunk_row, round(likeness, 6) AS similarity FROM bad{i}" for i in range(1, 5)),
     "p3_found": f"WITH RECURSIVE {LIKE}, link AS (SELECT a AS x, b AS y FROM alike UNION ALL SELECT b, a FROM alike), "
     "reach(x, root) AS (SELECT x, x FROM link UNION SELECT link.y, reach.root FROM reach JOIN link ON reach.x = link.x WHERE reach.root < link.y) "
     "SELECT min(root) AS canonical_row, x AS member_row FROM reach GROUP BY x HAVING min(root) < x",
