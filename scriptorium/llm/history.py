@@ -12,10 +12,12 @@ so bounds by centroid and radius exclude nothing and every batch would scan the
 What was found is reranked exactly by the full vectors; rows that repeat nothing are appended.
 
 Layout of the index folder: ``order`` (the fixed order of axes), ``gen=<batch>/kind=cell|ask|vec/
-bucket=<k>`` (filed axes and full vectors of the batch's texts, packed as byte columns) and
-``rejected/gen=<batch>``. An axis that many texts share is spread over several buckets, in all of
-which a text on it asks. A batch is vectorised and filed once; the task of a bucket then reads that
-bucket's files only. Nothing of the history is vectorised, sorted or shuffled again.
+bucket=<k>`` (filed axes and full vectors of the batch's texts, in blocks sorted by axis or text that
+carry their bounds, in small row groups) and ``rejected/gen=<batch>``. An axis that many texts share is
+spread over several buckets, in all of which a text on it asks. A batch is vectorised and filed once;
+the task of a bucket then opens that bucket's files and reads the row groups only, by the bounds in the
+footers, that hold an axis the batch asks for. Nothing of the history is vectorised, sorted or shuffled
+again.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.dataset as pads
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +53,15 @@ MORE = -(2**63) + 1
 FOLDS = 3
 HEAD = np.dtype([("node", np.int64), ("n", np.uint32), ("bits", np.uint64, (FOLDS,))])
 ENTRY = np.dtype([("axis", np.uint32), ("place", np.uint16), ("text", np.uint16)])
-FILED = "gen int, kind string, bucket int, a binary, b binary, c binary"
+PACKED = "gen int, kind string, bucket int, a binary, b binary, c binary"
+FILED = "gen int, kind string, bucket int, lo bigint, hi bigint, a binary, b binary, c binary"
+#: Entries of a block of cells and texts of a block of vectors; bytes of a row group, a few blocks.
+BLOCK, TEXTS, GROUP_BYTES = 1_500, 128, 1 << 16
 
 
-def _read(path: str, kind: str, bucket: int, before: int | None = None, only: int | None = None) -> list[tuple[bytes, bytes, bytes]]:
-    """Packed rows of one bucket, of the generations before or of one; run inside tasks."""
+def _read(path: str, kind: str, bucket: int, before: int | None = None, only: int | None = None, wanted: np.ndarray | None = None) -> list[tuple[bytes, bytes, bytes]]:
+    """Blocks of one bucket, of the generations before or of one; run inside tasks. With ``wanted`` (sorted
+    axes or texts) only row groups are read, by the bounds in the file's footer, that may hold one."""
     system, root = fs.FileSystem.from_uri(path)
     rows = []
     for entry in system.get_file_info(fs.FileSelector(root)):
@@ -68,11 +74,34 @@ def _read(path: str, kind: str, bucket: int, before: int | None = None, only: in
         folder = f"{entry.path}/kind={kind}/bucket={bucket}"
         if system.get_file_info(folder).type == fs.FileType.NotFound:
             continue
-        found = pads.dataset(folder, filesystem=system, format="parquet").to_table(columns=["a", "b", "c"])
-        rows += zip(*(found.column(c).to_pylist() for c in ("a", "b", "c")), strict=True)
+        for file in system.get_file_info(fs.FileSelector(folder)):
+            if file.base_name.endswith(".parquet"):
+                with system.open_input_file(file.path) as source:
+                    rows += _blocks(pq.ParquetFile(source), wanted)
     return rows
 
 
+def _blocks(file: pq.ParquetFile, wanted: np.ndarray | None) -> list[tuple[bytes, bytes, bytes]]:
+    """The blocks of a file that may hold one of the wanted keys."""
+    groups = list(range(file.metadata.num_row_groups))
+    if wanted is not None:
+        if not len(wanted):
+            return []
+        names = file.schema_arrow.names
+        at = [names.index("lo"), names.index("hi")]
+        bounds = [[file.metadata.row_group(i).column(j).statistics for j in at] for i in groups]
+        low = np.array([lo.min if lo is not None and lo.has_min_max else -(2**63) for lo, _ in bounds], np.int64)
+        high = np.array([hi.max if hi is not None and hi.has_min_max else 2**63 - 1 for _, hi in bounds], np.int64)
+        groups = np.flatnonzero(np.searchsorted(wanted, low, "left") < np.searchsorted(wanted, high, "right")).tolist()
+    if not groups:
+        return []
+    table = file.read_row_groups(groups, columns=["lo", "hi", "a", "b", "c"])
+    if wanted is not None:
+        low, high = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+        table = table.take(pa.array(np.flatnonzero(np.searchsorted(wanted, low, "left") < np.searchsorted(wanted, high, "right"))))
+    return list(zip(*(table.column(c).to_pylist() for c in ("a", "b", "c")), strict=True))
+
+
 class TextHistory:
     """The index. Texts are known by the hash of their content, so copies share one entry.
 
@@ -161,8 +190,13 @@ class TextHistory:
                     mine = np.flatnonzero(home == bucket)
                     yield _row(gen, "vec", int(bucket), ids[mine], n[mine].astype(np.int32), np.concatenate([parts[i] for i in mine]))
 
-        rows = texts.select("node", "text").mapInArrow(vectors, FILED).repartition(self.buckets, "kind", "bucket")
-        rows.drop("gen").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{self.path}/gen={gen}")
+        block, group = BLOCK, TEXTS
+        rows = texts.select("node", "text").mapInArrow(vectors, PACKED).repartition(self.buckets, "kind", "bucket")
+        rows = rows.mapInArrow(lambda batches: _sorted_blocks(batches, block, group), FILED)
+        writer = rows.drop("gen").write.mode("overwrite").partitionBy("kind", "bucket")
+        # small row groups, so that a batch reads what it asks for
+        writer = writer.option("parquet.block.size", str(GROUP_BYTES)).option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "1")
+        writer.parquet(f"{self.path}/gen={gen}")
 
     # -- probing ---------------------------------------------------------------------------------
 
@@ -178,7 +212,8 @@ class TextHistory:
             if wanted is not None:
                 keep = np.isin(head_q["node"], wanted)
                 axis, at_q, head_q = axis[keep], at_q[keep], head_q[keep]
-            cells, at_x, head_x = _entries(_read(path, "cell", bucket, before=gen), np.unique(axis))
+            asked = np.unique(axis)
+            cells, at_x, head_x = _entries(_read(path, "cell", bucket, before=gen, wanted=asked.astype(np.int64)), asked)
             if not len(cells):
                 return pd.DataFrame({"q": np.empty(0, np.int64), "x": np.empty(0, np.int64), "more": np.empty(0, bool)})
             q, filed = head_q["node"], head_x["node"]
@@ -347,6 +382,44 @@ def _pack(gen: int, kind: str, bucket: np.ndarray, axes: np.ndarray, place: np.n
         yield _row(gen, kind, int(bucket[start]), entries, heads[used], np.empty(0, np.uint8))
 
 
+def _sorted_blocks(batches, block: int, group: int):
+    """The packed rows of each bucket as blocks sorted by axis (cells) or by text (vectors), each with its
+    bounds; what several slices filed is kept once."""
+    held: dict[tuple[int, str, int], list[tuple[bytes, bytes, bytes]]] = {}
+    for batch in batches:
+        for gen, kind, bucket, *packed in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            held.setdefault((gen, kind, bucket), []).append(tuple(packed))
+    for key in sorted(held):
+        gen, kind, bucket = key
+        rows = held.pop(key)
+        if kind == "vec":
+            ids = np.concatenate([np.frombuffer(a, np.int64) for a, _, _ in rows])
+            n = np.concatenate([np.frombuffer(b, np.int32) for _, b, _ in rows])
+            axes = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in rows])
+            begins = np.cumsum(n) - n
+            _, first = np.unique(ids, return_index=True)
+            for start in range(0, len(first), group):
+                some = first[start : start + group]
+                yield _block(gen, kind, bucket, ids[some[0]], ids[some[-1]], ids[some], n[some], np.concatenate([axes[begins[i] : begins[i] + n[i]] for i in some]))
+            continue
+        axis, place, head = _entries(rows, None)
+        order = np.lexsort((head["node"], axis))
+        axis, place, head = axis[order], place[order], head[order]
+        new = np.r_[True, (axis[1:] != axis[:-1]) | (head["node"][1:] != head["node"][:-1])][: len(axis)]
+        axis, place, head = axis[new], place[new], head[new]
+        for start in range(0, len(axis), block):
+            some = slice(start, start + block)
+            _, first, local = np.unique(head["node"][some], return_index=True, return_inverse=True)
+            entries = np.empty(len(local), ENTRY)
+            entries["axis"], entries["place"], entries["text"] = axis[some], place[some], local
+            yield _block(gen, kind, bucket, int(axis[some][0]), int(axis[some][-1]), entries, head[some][first], np.empty(0, np.uint8))
+
+
+def _block(gen: int, kind: str, bucket: int, low: int, high: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([gen], pa.int32()), pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([low], pa.int64()), pa.array([high], pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array([x.tobytes()], pa.binary()) for x in (a, b, c))], names=["gen", "kind", "bucket", "lo", "hi", "a", "b", "c"])
+
+
 def _entries(rows: list[tuple[bytes, bytes, bytes]], only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(axis, place, head)`` of the entries of packed rows, of some axes only if given."""
     axes, places, heads = [np.empty(0, np.uint32)], [np.empty(0, np.uint16)], [np.empty(0, HEAD)]
@@ -364,9 +437,9 @@ def _entries(rows: list[tuple[bytes, bytes, bytes]], only: np.ndarray | None) ->
 
 
 def _vectors(path: str, bucket: int, wanted: np.ndarray, before: int | None = None, only: int | None = None) -> dict[int, np.ndarray]:
-    """Full vectors of the wanted texts of one bucket."""
+    """Full vectors of the wanted texts (sorted) of one bucket."""
     found: dict[int, np.ndarray] = {}
-    for a, b, c in _read(path, "vec", bucket, before=before, only=only):
+    for a, b, c in _read(path, "vec", bucket, before=before, only=only, wanted=wanted):
         ids, n, axes = np.frombuffer(a, np.int64), np.frombuffer(b, np.int32), np.frombuffer(c, np.uint32)
         ends = np.cumsum(n)
         for i in np.flatnonzero(np.isin(ids, wanted)):

@@ -86,6 +86,34 @@ def test_history_finds_the_nearest_beyond_the_first_pass(spark, monkeypatch):
     assert few == {(r, round(v, 9)) for r, v in want.items() if v >= 0.6}
 
 
+def test_history_reads_what_a_batch_asks_for(spark, monkeypatch):
+    """Of blocks of 16 entries, a small batch reads about as many bytes from a history of twice the size."""
+    monkeypatch.setattr(history, "BLOCK", 16)
+    monkeypatch.setattr(history, "TEXTS", 2)
+    monkeypatch.setattr(history, "GROUP_BYTES", 1)
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    made = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [made(40) for _ in range(1_600)]
+    batch = [(10_000 + i, edit(rng, texts[i], 1)) for i in range(4)]
+    read, whole = [], []
+    for n in (800, 1_600):
+        index = history.TextHistory(spark)
+        node = lambda rows: spark.createDataFrame(rows, "node bigint, text string")
+        first = node(list(enumerate(texts[:n])))
+        index.start(first)
+        index.file(first, 0)
+        assert {(r.node, r.x) for r in index.check(node(batch), 1).collect()} == {(10_000 + i, i) for i in range(4)}
+        asked = {b: np.unique(history._entries(history._read(index.path, "cell", b, only=1), None)[0]) for b in range(index.buckets)}
+        size = lambda wanted: sum(len(x) for b in range(index.buckets) for row in history._read(index.path, "cell", b, before=1, wanted=asked[b].astype(np.int64) if wanted else None) for x in row)
+        read.append(size(True))
+        whole.append(size(False))
+        found = history._vectors(index.path, 0, np.array([0]), before=1)
+        assert set(found) <= {0}
+    assert whole[1] > 1.9 * whole[0]
+    assert read[1] < 1.25 * read[0] and read[1] < 0.25 * whole[1]
+
+
 def test_history_with_spread_axes(spark, monkeypatch):
     monkeypatch.setattr(history, "_spread", lambda rank: 1 + rank.astype(np.int64) % 5)
     rows = made_chunks(1)
