@@ -38,7 +38,7 @@ SHINGLE, ALIKE = 3, 0.6
 #: from the first batch, and the parts in which they are added up.
 WIDTH, WIDTH_PARTS = 1 << 20, 64
 #: Filed axes that one bucket should hold at most; the number of buckets follows from it.
-PER_BUCKET = 1_000_000
+PER_BUCKET = 250_000
 #: An axis on which more texts lie in the first batch is spread over several buckets by its texts.
 HOT_AXIS = 1 << 17
 #: Vectors of one cell that a query looks at in the first pass, nearest in size first; the rest is
