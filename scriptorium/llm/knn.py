@@ -6,7 +6,7 @@ neighbours lie. Every vector is indexed in its most probable part and searches t
 probable ones, where candidates are reranked by their exact distance.
 
 Sizes: sample, classifiers and part table have fixed bounds; a part has about ``PART`` vectors, so
-the work for each vector is constant. Where the sample is too small for as many parts as the
+the work for each vector grows with the root of the number of parts only. Where the sample is too small for as many parts as the
 collection needs, each part is cut once more in the same way, on a bounded sample of its own
 vectors (up to ``SUBS`` parts each). A part that came out larger is split into blocks, and its
 searches go to all of them; many searches of one part are split too, so no group grows with the
@@ -30,14 +30,15 @@ from scriptorium.plans.session import materialize
 
 NEAREST, CLOSE, WIDTH = 5, 0.12, 64
 #: Vectors of a part, rows the partitioning is learned on at most, parts at most.
-PART, SAMPLE_ROWS, MOST_PARTS = 1_500, 24_000, 4_096
+PART, SAMPLE_ROWS, MOST_PARTS = 4_000, 24_000, 4_096
 #: Sample rows a part is learned from at least; parts that a part is cut into at most, and rows of its
 #: own that this is learned on at most.
 PER_PART, SUBS, SUB_ROWS = 12, 64, 2_560
 #: Searches of a part that one group answers.
 ASKS = 30_000
-#: A vector searches parts until they hold this share of its probability, and at most so many.
-MASS, PROBES = 0.995, 8
+#: A vector searches parts until they hold this share of its probability, and at most PROBES of them, or
+#: SPREAD times the root of their number: what is far from everything has its neighbours all over.
+MASS, PROBES, SPREAD = 0.995, 8, 1.6
 GRAPH = 10
 
 
@@ -209,6 +210,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
 
+def probes_for(cells: int) -> int:
+    """How many of so many parts a vector searches at most."""
+    return min(cells, max(PROBES, int(np.ceil(SPREAD * cells**0.5))))
+
+
 def choose(x: np.ndarray, router: Router, inside: dict[int, Router]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, cell, place)`` of the cells that each row of ``x`` searches, the most probable (its home)
     first: parts, or parts inside parts, until they hold ``MASS`` of its probability, ``PROBES`` at most."""
@@ -227,7 +233,7 @@ def choose(x: np.ndarray, router: Router, inside: dict[int, Router]) -> tuple[np
                 within = inside[part].probabilities(x[row])
                 shares[row, at, : within.shape[1]] = likely[row, at, None] * within
         cells, shares = cells.reshape(len(x), -1), shares.reshape(len(x), -1)
-        width = min(PROBES, shares.shape[1])
+        width = min(probes_for(sum(r.bias.size for r in inside.values()) + p.shape[1] - len(inside)), shares.shape[1])
     order = np.argsort(-shares, axis=1, kind="stable")[:, :width]
     shares = np.take_along_axis(shares, order, axis=1)
     goes = np.concatenate([np.ones((len(x), 1), bool), (np.cumsum(shares, axis=1)[:, :-1] < MASS) & (shares[:, 1:] > 0)], axis=1)
