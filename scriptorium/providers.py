@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +16,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMBED_BATCH, RERANK_BATCH = 128, 32
-_TOKEN = re.compile(r"\w+(?:\.[0-9]+)*")
 
 
 def hash_embeddings(texts: list[str]) -> list[list[float]]:
@@ -25,21 +23,16 @@ def hash_embeddings(texts: list[str]) -> list[list[float]]:
     return [[(b - 127.5) / 127.5 for b in hashlib.sha256(t.encode()).digest()] for t in texts]
 
 
-def term_embeddings(texts: list[str], width: int = 64) -> list[list[float]]:
-    """Hashed counts of tokens, so that texts with common words are near."""
-    out = []
-    for text in texts:
-        vector = [0.0] * width
-        for token in _TOKEN.findall(text.lower()):
-            vector[int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % width] += 1.0
-        out.append(vector)
-    return out
-
-
-def check_vectors(vectors: list[list[float]], expected: int) -> list[list[float]]:
-    """One vector for each text, all finite, not empty, of one length."""
+def check_vectors(vectors: list, expected: int) -> list[list[float]]:
+    """One vector for each text, all finite, not empty, of one length. A provider may answer in any order
+    with pairs (index of the text, vector); then each index must come once."""
     if len(vectors) != expected:
         raise ValueError("the provider gave another number of vectors than texts")
+    if vectors and all(isinstance(v, tuple) and len(v) == 2 and isinstance(v[0], int) for v in vectors):
+        by_index = dict(vectors)
+        if set(by_index) != set(range(expected)):
+            raise ValueError("the provider's indexes are not those of the texts")
+        vectors = [by_index[i] for i in range(expected)]
     widths = {len(v) for v in vectors}
     if vectors and (len(widths) != 1 or 0 in widths or not all(math.isfinite(x) for v in vectors for x in v)):
         raise ValueError("vectors must be finite, not empty and of one length")

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.config import Settings
-from scriptorium.errors import ChunkingError, EvaluationError, IndexingError, IngestionError, RetrievalError, SettingsError
+from scriptorium.errors import ChunkingError, EvaluationError, GenerationError, IndexingError, IngestionError, RetrievalError, SettingsError
 from scriptorium.functions import text as X
 from scriptorium.functions import vectors as V
 from scriptorium.operators import answers as A
@@ -215,6 +215,37 @@ def test_hit_problems(spark):
     assert {r.chunk_id: r.error_class for r in R.hit_problems(hits).collect()} == {" ": "no_id", "b": "bad_rank", "c": "bad_distance", "d": "bad_distance", "e": "bad_distance", "f": "no_text"}
 
 
+def test_provider_answers_in_any_order():
+    from scriptorium.providers import check_vectors
+
+    assert check_vectors([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]] and check_vectors([], 0) == []
+    for bad in ([(0, [1.0]), (0, [2.0])], [(0, [1.0]), (2, [2.0])], [[1.0]], [[1.0], []], [[1.0], [float("inf")]], [[1.0], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            check_vectors(bad, 2)
+
+
+def test_hydration_compares_texts(spark):
+    corpus = spark.createDataFrame([("a", "x", "d", 0, "f", None, None, "fixed")], "chunk_id string, text string, document_id string, chunk_index int, source_file string, section_heading string, page_number int, chunking_strategy string")
+    hits = spark.createDataFrame([("q", "a", 1, "x"), ("r", "a", 1, "y"), ("s", "b", 1, "x")], "query_id string, chunk_id string, rank int, text string")
+    assert {r.query_id: r.error_class for r in R.hydrate(hits, corpus).collect()} == {"q": None, "r": "text_mismatch", "s": "missing_chunk"}
+
+
+def test_composites_and_their_checks(spark):
+    corpus = spark.createDataFrame([(f"c{i}", t, "d", i, "f.md", None, None, "fixed") for i, t in enumerate(["Backups stay 9 days. More.", "Other words here."])], "chunk_id string, text string, document_id string, chunk_index int, source_file string, section_heading string, page_number int, chunking_strategy string")
+    vectors = corpus.select("chunk_id", "text", pipeline.embedding_udf()(F.col("text")).alias("vector"))
+    asked = spark.createDataFrame([("q", "how long do backups stay")], "query_id string, query string")
+    done = pipeline.retrieve_generate_verify_and_score(asked, corpus, vectors)
+    assert done.answers.first().answer_text.endswith("[1].") and done.verdicts.count() == 1 and done.scored.first().error_class is None
+    assert pipeline.retrieve_and_generate(asked, corpus, vectors).verdicts is None
+    blank = pipeline.Providers(generate=lambda question, evidence: F.lit(" "))
+    invented = pipeline.Providers(judge=lambda answer, evidence: F.struct(F.lit("fine").alias("verdict"), F.lit("x").alias("rationale")))
+    for providers, chain in ((blank, pipeline.retrieve_and_generate), (invented, pipeline.retrieve_generate_and_verify)):
+        with pytest.raises(GenerationError):
+            chain(asked, corpus, vectors, providers=providers)
+    with pytest.raises(RetrievalError):  # another text beside the vectors than in the corpus
+        pipeline.retrieve_hybrid(asked, corpus, vectors.withColumn("text", F.concat("text", F.lit("!"))))
+
+
 def test_fusion_refuses_lists_that_disagree(spark):
     made = lambda text: spark.createDataFrame([("q", "x", 1, text)], "query_id string, chunk_id string, rank int, text string")
     assert R.rrf(made("t"), made("t")).count() == 1
