@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.plans.session import materialize
+from scriptorium.plans.session import discard, materialize
 
 #: Up to so many forest links (16 bytes each) one task unites them all; beyond, rounds follow.
 ONE_TASK = 2_000_000
@@ -71,11 +71,14 @@ def labels(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     clean = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     edges = materialize(clean.mapInArrow(_unite, "a bigint, b bigint"), "forest")
     if edges.count() <= one_task:
-        edges = edges.coalesce(1).mapInArrow(_unite, "a bigint, b bigint")
-        return materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("root")), "labels")
+        united = edges.coalesce(1).mapInArrow(_unite, "a bigint, b bigint")
+        found = materialize(united.select(F.col("a").alias("id"), F.col("b").alias("root")), "labels")
+        discard(edges)
+        return found
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import THREE_WORDS, likeness, shingles, slices, starts_of
-from scriptorium.plans.session import materialize, new_dir
+from scriptorium.plans.session import discard, materialize, new_dir
 
 SHINGLE, ALIKE = 3, 0.6
 #: Counters that tell common axes from rare ones (one byte each in the end), a fixed size filled once
@@ -335,14 +335,17 @@ class TextHistory:
             return materialize(same.union(hits), "matches"), seen
 
         hits, seen = matches(None)
+        used = [hits, seen]
         # what was skipped may be nearer than any hit but the text itself
         settled = hits.where("q = x").select("q").distinct()
         open_ = seen.where("more").select("q").distinct().join(settled, "q", "left_anti")
         if not open_.isEmpty():
             open_ = materialize(open_, "second")
-            hits = hits.union(matches(open_)[0])  # both passes may give a pair; the best is taken below
+            used += [open_, *(more := matches(open_))]
+            hits = hits.union(more[0])  # both passes may give a pair; the best is taken below
         best = hits.groupBy(F.col("q").alias("node")).agg(F.max_by("x", F.struct("similarity", F.col("q") == F.col("x"), -F.col("x"))).alias("x"), F.max("similarity").alias("similarity"))
         best.select("node", "x", "similarity").write.mode("overwrite").parquet(f"{self.path}/rejected/gen={gen}")
+        discard(*used)
         return self.rejected().where(F.col("gen") == gen).select("node", "x", "similarity")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import components
 from scriptorium.llm.common import THREE_WORDS, mix64, shingles, slices, starts_of
-from scriptorium.plans.session import materialize, spread
+from scriptorium.plans.session import discard, materialize, spread
 
 SHINGLE, ALIKE = 3, 0.6
 #: Sized for the lowest weighted likeness of a pair that is alike by ALIKE, see ``missed``.
@@ -487,11 +487,14 @@ class NearDuplicates:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct()
         packed = materialize(packed_shingles(self.rows.join(wanted, "id", "left_semi").select("id", "text")), "shingles")
         links = materialize(verified(pairs, packed, self.sketch, self.documents), "links")
-        if buckets.where("crowd is not null").isEmpty():
-            return links
-        crowds = crowds.join(components.labels(links.select("a", "b")), "id", "left").select("crowd", "id", F.coalesce("root", "id").alias("root"))
-        more = crowded_pairs(materialize(crowds, "crowds"), packed, self.sketch)
-        return links.union(materialize(verified(more, packed, self.sketch, self.documents), "crowded"))
+        if not buckets.where("crowd is not null").isEmpty():
+            roots = components.labels(links.select("a", "b"))
+            crowds = materialize(crowds.join(roots, "id", "left").select("crowd", "id", F.coalesce("root", "id").alias("root")), "crowds")
+            more = crowded_pairs(crowds, packed, self.sketch)
+            links = links.union(materialize(verified(more, packed, self.sketch, self.documents), "crowded"))
+            discard(crowds, roots)
+        discard(passed, buckets, pairs, packed)
+        return links
 
     def groups(self, links: DataFrame | None = None) -> DataFrame:
         """``(canonical_row, member_row)`` of each group of two or more rows, canonical < member."""
