@@ -191,7 +191,7 @@ class TextHistory:
                     yield _row(gen, "vec", int(bucket), ids[mine], n[mine].astype(np.int32), np.concatenate([parts[i] for i in mine]))
 
         block, group = BLOCK, TEXTS
-        rows = texts.select("node", "text").mapInArrow(vectors, PACKED).repartition(self.buckets, "kind", "bucket")
+        rows = texts.select("node", "text").mapInArrow(vectors, PACKED).repartitionById(self.buckets, "bucket")
         rows = rows.mapInArrow(lambda batches: _sorted_blocks(batches, block, group), FILED)
         writer = rows.drop("gen").write.mode("overwrite").partitionBy("kind", "bucket")
         # small row groups, so that a batch reads what it asks for

@@ -301,7 +301,7 @@ def bucketed(bands: DataFrame, places: int = 12) -> DataFrame:
             columns += [pa.array(x[some], mask=x[some] == NONE) for x in (head, crowd)]
             yield pa.RecordBatch.from_arrays(columns, names=["band", "part", "node", "head", "crowd"])
 
-    return bands.repartition(places, "place").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
+    return bands.repartitionById(places, "place").mapInArrow(run, "band bigint, part int, node bigint, head bigint, crowd bigint")
 
 
 def may_be_alike(a: str = "a", b: str = "b") -> str:
