@@ -242,8 +242,8 @@ def choose(x: np.ndarray, router: Router, inside: dict[int, Router]) -> tuple[np
 
 
 def routed(entries: DataFrame, router: Router, inside: dict[int, Router] | None = None) -> DataFrame:
-    """``(part, home, id, vector binary)``: each entry once in its home part and once for every other
-    part that it searches. Vectors travel as 32-bit unit vectors."""
+    """``(part, home, id)``: each entry once in its home part and once for every other part that it
+    searches."""
     shared = entries.sparkSession.sparkContext.broadcast((router, inside or {}))
 
     def run(batches):
@@ -251,13 +251,23 @@ def routed(entries: DataFrame, router: Router, inside: dict[int, Router] | None
         for batch in batches:
             for start in range(0, batch.num_rows, 2_048):
                 some = batch.slice(start, 2_048)
-                x = unit(_matrix(some.column(1)))
-                row, cell, place = choose(x, known, within)
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * WIDTH), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, np.float32))]).cast(pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(place == 0), some.column(0).take(take), packed.take(take)], names=["part", "home", "id", "vector"])
+                row, cell, place = choose(unit(_matrix(some.column(1))), known, within)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(place == 0), some.column(0).take(pa.array(row))], names=["part", "home", "id"])
 
-    return entries.mapInArrow(run, "part int, home boolean, id bigint, vector binary")
+    return entries.mapInArrow(run, "part int, home boolean, id bigint")
+
+
+def packed(entries: DataFrame) -> DataFrame:
+    """``(id, vector binary)``: 32-bit unit vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.ascontiguousarray(unit(_matrix(batch.column(1))), np.float32)
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * WIDTH), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["id", "vector"])
+
+    return entries.select("id", "vector").mapInArrow(run, "id bigint, vector binary")
 
 
 def _search(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -288,13 +298,13 @@ def _search(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"q": np.empty(0, np.int64), "x": np.empty(0, np.int64), "distance": np.empty(0)})
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """``(part, block, turn, role, id, vector)`` of ``routed``: the entries of a part in blocks, its
+def placed(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(part, block, turn, role, id, vector)`` of ``routed`` and ``packed``: the entries of a part in blocks, its
     searches in turns, each turn beside every block. Role 0 is indexed only, 1 searches only, 2 both."""
     sizes = rows.groupBy("part").agg(F.count_if("home").alias("homes"), F.count("*").alias("asks"))
     blocks = F.when(F.col("homes") > 3 * PART, F.ceil(F.col("homes") / (2 * PART))).otherwise(1).cast("int")
     table = sizes.select("part", blocks.alias("blocks"), F.ceil(F.col("asks") / ASKS).cast("int").alias("turns"))
-    rows = rows.join(F.broadcast(table), "part")  # a row a part: at most MOST_PARTS * SUBS
+    rows = rows.join(vectors, "id").join(F.broadcast(table), "part")  # a row a part: at most MOST_PARTS * SUBS
     own_block, own_turn = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.pmod(F.xxhash64("id", F.lit("turn")), "turns").cast("int")
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda block, turn, role: F.struct(block.alias("block"), turn.alias("turn"), role.alias("role"))
@@ -305,9 +315,9 @@ def placed(rows: DataFrame) -> DataFrame:
 
 def nearest_entries(entries: DataFrame, router: Router, inside: dict[int, Router] | None = None, k: int = NEAREST) -> DataFrame:
     """``(q, x, distance)``: the k nearest other entries of each entry of ``entries (id, vector)``."""
-    rows = materialize(routed(entries, router, inside), "routed")
+    rows = materialize(routed(entries, router, inside), "routed")  # without the vectors, which travel once
     # the largest group is a block of 3 * PART entries and ASKS searches
-    found = placed(rows).groupBy("part", "block", "turn").applyInPandas(lambda frame: _search(frame, k), "q bigint, x bigint, distance double")
+    found = placed(rows, packed(entries)).groupBy("part", "block", "turn").applyInPandas(lambda frame: _search(frame, k), "q bigint, x bigint, distance double")
     best = Window.partitionBy("q").orderBy("distance", "x")
     return found.dropDuplicates(["q", "x"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("q", "x", "distance")
 
