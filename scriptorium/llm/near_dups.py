@@ -79,8 +79,8 @@ def _folded(codes: np.ndarray, record: np.ndarray, records: int) -> np.ndarray:
 
 
 def first_pass(rows: DataFrame) -> DataFrame:
-    """One pass over ``rows (node, text)``: counters of all shingles' document frequencies (``part,
-    counts``, the last counter of the last part counts the rows) and what is kept of each text (``node,
+    """One pass over ``rows (id, node, text)``: counters of all shingles' document frequencies (``part,
+    counts``, the last counter of the last part counts the rows) and what is kept of each row (``id, node,
     size, bits``).
 
     Each task sends ``2 * WIDTH`` counters, in ``PARTS`` parts.
@@ -88,11 +88,11 @@ def first_pass(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         total = np.zeros(2 * WIDTH + PARTS, np.int64)
-        names = ["part", "counts", "node", "size", *FOLDS]
+        names = ["part", "counts", "id", "node", "size", *FOLDS]
         for batch in slices(batches, SLICE):
             total[-1] += batch.num_rows
-            node = batch.column(0).to_numpy()
-            doc, codes = shingles(batch.column(1).to_pylist(), SHINGLE)
+            ids, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc, codes = shingles(batch.column(2).to_pylist(), SHINGLE)
             for slot in _slots(codes):
                 total += np.bincount(slot, minlength=len(total))
             starts = starts_of(doc)
@@ -100,13 +100,13 @@ def first_pass(rows: DataFrame) -> DataFrame:
                 continue
             sizes = np.diff(np.r_[starts, len(doc)])
             bits = _folded(codes, np.repeat(np.arange(len(starts)), sizes), len(starts))
-            columns = [pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.binary()), pa.array(node[doc[starts]]), pa.array(sizes.astype(np.int32))]
+            columns = [pa.nulls(len(starts), pa.int32()), pa.nulls(len(starts), pa.binary()), pa.array(ids[doc[starts]]), pa.array(node[doc[starts]]), pa.array(sizes.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, i]) for i in range(3))], names=names)
         if total[-1]:
-            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            none = [pa.nulls(PARTS, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(PARTS, -1)], pa.binary()), *none], names=names)
 
-    return rows.mapInArrow(run, "part int, counts binary, node bigint, size int, bits0 bigint, bits1 bigint, bits2 bigint")
+    return rows.select("id", "node", "text").mapInArrow(run, "part int, counts binary, id bigint, node bigint, size int, bits0 bigint, bits1 bigint, bits2 bigint")
 
 
 def frequency_sketch(passed: DataFrame) -> tuple[np.ndarray, int]:
@@ -311,8 +311,8 @@ def may_be_alike(a: str = "a", b: str = "b") -> str:
 
 
 def candidate_pairs(buckets: DataFrame, kept: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)`` with a < b of the buckets' parts that can be alike, by what is ``kept (node,
-    size, bits)`` of each text. No part has many more than ``BUCKET`` records."""
+    """Distinct ``(a, b)`` with a < b, representatives of the buckets' parts that can be alike, by what is
+    ``kept (node, rep, size, bits)`` of each text. No part has many more than ``BUCKET`` records."""
 
     def run(batches):
         band, part, node, size, *bits = _whole(batches, (np.int64, np.int32, np.int64, np.int32, np.int64, np.int64, np.int64))
@@ -336,10 +336,11 @@ def candidate_pairs(buckets: DataFrame, kept: DataFrame) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0) if len(band) else found[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
 
-    rows = buckets.select("band", "part", "node").join(kept, "node").select("band", "part", "node", "size", *FOLDS)
+    rows = buckets.select("band", "part", "node").join(kept, "node").select("band", "part", "rep", "size", *FOLDS)
     pairs = rows.repartition("band", "part").mapInArrow(run, "a bigint, b bigint")
-    led = buckets.where("head is not null and head <> node").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    return pairs.union(led).distinct()
+    led = buckets.where("head is not null and head <> node").select("node", "head").distinct()
+    led = led.join(kept.select("node", F.col("rep").alias("x")), "node").join(kept.select(F.col("node").alias("head"), F.col("rep").alias("y")), "head")
+    return pairs.union(led.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 # -- verification -------------------------------------------------------------------------------
@@ -464,26 +465,24 @@ class NearDuplicates:
     def __init__(self, rows: DataFrame, key: str = "chunk_row", text: str = "text"):
         rows = rows.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
         self.rows = spread(rows).where(F.col("text").rlike(THREE_WORDS)).withColumn("node", F.xxhash64("text"))
+        self.passed: DataFrame | None = None
 
     def membership(self) -> DataFrame:
-        """``(id, node, rep)``: the representative row of each row's text."""
-        heads = self.rows.groupBy("node").agg(F.min("id").alias("rep"))
-        return self.rows.select("id", "node").join(heads, "node")
+        """``(id, node, rep)``: the representative row of each row's text, of texts with a shingle."""
+        if self.passed is None:
+            self.passed = materialize(first_pass(self.rows), "first")
+        rows = self.passed.where("node is not null").select("id", "node")
+        return rows.join(rows.groupBy("node").agg(F.min("id").alias("rep")), "node")
 
     def links(self) -> DataFrame:
         """``(a, b, similarity, weighted)`` of representatives, verified: those of all buckets, then all
         across groups of the records of buckets whose pairs were not all looked at."""
-        texts = self.rows.select("node", "text")
-        passed = materialize(first_pass(texts), "first")
-        self.sketch, self.documents = frequency_sketch(passed)
-        kept = passed.where("node is not null").select("node", "size", *FOLDS).dropDuplicates(["node"])
-        buckets = materialize(bucketed(band_rows(texts, self.sketch, self.documents), places_for(self.documents)), "buckets")
-        pairs = candidate_pairs(buckets, kept)
-        heads = self.rows.groupBy("node").agg(F.min("id").alias("rep"))
-        named = pairs.join(heads.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a")
-        named = named.join(heads.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
-        pairs = materialize(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), "pairs")
-        crowds = buckets.where("crowd is not null").select("crowd", "node").distinct().join(heads, "node").select("crowd", F.col("rep").alias("id"))
+        self.passed = materialize(first_pass(self.rows), "first")
+        self.sketch, self.documents = frequency_sketch(self.passed)
+        kept = self.passed.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), *(F.min(c).alias(c) for c in ("size", *FOLDS)))
+        buckets = materialize(bucketed(band_rows(self.rows.select("node", "text"), self.sketch, self.documents), places_for(self.documents)), "buckets")
+        pairs = materialize(candidate_pairs(buckets, kept), "pairs")
+        crowds = buckets.where("crowd is not null").select("crowd", "node").distinct().join(kept.select("node", F.col("rep").alias("id")), "node").select("crowd", "id")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowds.select("id")).distinct()
         packed = materialize(packed_shingles(self.rows.join(wanted, "id", "left_semi").select("id", "text")), "shingles")
         links = materialize(verified(pairs, packed, self.sketch, self.documents), "links")
@@ -493,7 +492,7 @@ class NearDuplicates:
             more = crowded_pairs(crowds, packed, self.sketch)
             links = links.union(materialize(verified(more, packed, self.sketch, self.documents), "crowded"))
             discard(crowds, roots)
-        discard(passed, buckets, pairs, packed)
+        discard(buckets, pairs, packed)
         return links
 
     def groups(self, links: DataFrame | None = None) -> DataFrame:

@@ -176,7 +176,7 @@ def test_crowded_bucket_of_unlike_records(spark, monkeypatch, sent):
     bases = [f"{head} {text_of(rng, 40)}" for _ in range(60)]
     rows = [(i, 0, t) for i, t in enumerate(bases)] + [(100 + i, 0, edit(rng, t, 2)) for i, t in enumerate(bases)]
     operator = near_dups.NearDuplicates(frame(spark, rows))
-    sketch, documents = near_dups.frequency_sketch(near_dups.first_pass(operator.rows.select("node", "text")))
+    sketch, documents = near_dups.frequency_sketch(near_dups.first_pass(operator.rows))
     bands = near_dups.band_rows(operator.rows.select("node", "text"), sketch, documents)
     packed = [np.concatenate([np.frombuffer(r[i] or b"", np.int64) for r in bands.collect()]) for i in range(1, 4)]
     if sent > 120:
