@@ -155,7 +155,9 @@ def _kind(token: str) -> str:
         return "<code>"
     if "." in core:
         return "<file>"
-    return "<name>" if "-" in core or "`" in core else "<word>"
+    if "-" in core or "`" in core:
+        return "<name>"
+    return "<word>" if _OUTER.sub("", core) else "<mark>"  # "&", "§": marks of any other kind
 
 
 def masked(sentence: str) -> list[str]:

@@ -316,6 +316,15 @@ def test_defect_edges():
     assert qa_defects.fit([("What is x?", "It is y.", ["y"])] * 3) is not None
 
 
+def test_defects_of_bare_marks():
+    """A token of marks alone, of whatever kind, is a mark: no token is empty."""
+    assert qa_defects.masked("Alice & Bob § 4 + ~ | end.") == ["alice", "<mark>", "bob", "<mark>", "<number>", "<mark>", "<mark>", "<mark>", "end"]
+    rows = [(f"What does step {i} & part {i} do?", f"It runs | part {i} & § stops.", [f"runs & part {i}"]) for i in range(12)]
+    assert qa_defects.fit(rows) is not None
+    slots, values = qa_defects.features("What & why?", "because & §", ["& this"], qa_defects.learn_profile(rows))
+    assert len(slots) == len(values)
+
+
 def test_defects_table(spark):
     schema = "id string, question string, answerability string, expected_answer string, expected_facts array<string>, defect string"
     rows = [(f"c{i}", q, "answerable", a, f, "clash") for i, (q, a, f) in enumerate(made_cases(300))]
