@@ -8,7 +8,7 @@ are written. Most texts need no rewriting and are read as they are.
 
 Detection starts at cheap anchors (a sign, a run of digits, a street word) and matches the full form
 of the identifier around each of them. Names are found by titles, initials, particles, common given
-names, signatures and salutations. What these find in a bounded sample of the corpus tells which
+names, signatures and salutations. What these find in the whole corpus tells which
 endings its family names have; names with a learned ending are then found without such a sign too.
 """
 
@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_sample
-from scriptorium.plans.session import spread
+from scriptorium.plans.session import discard, materialize, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -334,9 +333,9 @@ def addresses(text: str) -> list[Span]:
     return found
 
 
-#: Documents that endings are learned from at most; family names that must have an ending, the share of
-#: them among all words with it, and the lengths of endings.
-SAMPLE_ROWS, LEAST_NAMES, LEAST_SHARE, ENDING = 6_000, 4, 0.5, (3, 4, 5)
+#: Documents in which an ordinary word stands ``LEAST_NAMES`` times; family names that must have an ending,
+#: the share of them among all words with it, and the lengths of endings.
+ORDINARY_ROWS, LEAST_NAMES, LEAST_SHARE, ENDING = 6_000, 4, 0.5, (3, 4, 5)
 _STANDING = re.compile(r"(?<![\w@./-])[^\W\d_]{4,}(?:-[^\W\d_]{4,})?(?![\w@]|[-./]\w)")
 
 
@@ -363,32 +362,50 @@ def _family_pattern(endings: tuple[str, ...]) -> re.Pattern[str] | None:
 NO_ENDINGS = FamilyNames()
 
 
-def learn_endings(texts: list[str | None]) -> FamilyNames:
-    """The endings that at least ``LEAST_NAMES`` different family names told by their surroundings have,
-    and few other words; the shortest ones that do."""
+def _told(texts: list[str | None]) -> tuple[set[str], set[str], Counter]:
+    """``(families, words, small)`` of some texts: family names told by their surroundings, all words, and
+    how often a word stands in lower case."""
     families: set[str] = set()
     words: set[str] = set()
-    small: Counter = Counter()
+    standing: Counter = Counter()
     for text in texts:
         if not text:
             continue
         body = rewrite(text).text
-        for word in _STANDING.findall(body):
-            words.update(w for w in _lower(word).split("-") if len(w) >= 4)
-            if word.islower():
-                small[word] += 1
+        standing.update(_STANDING.findall(body))
         for s in _by_cue(body):
             told = _lower(body[s.start : s.end])
             last = told.split(",")[0] if "," in told else told
             families.update(w for w in re.findall(r"[^\W\d_]+", last.split(" ")[-1]) if len(w) >= 4)
-    words |= families
+    for word in standing:
+        words.update(w for w in _lower(word).split("-") if len(w) >= 4)
+    return families, words | families, Counter({w: n for w, n in standing.items() if w.islower()})
+
+
+def _least_names(families: int) -> int:
+    return max(LEAST_NAMES, families // 300)
+
+
+def _shortest(endings: list[str]) -> tuple[str, ...]:
+    """Endings that have no shorter one of the list."""
     chosen: list[str] = []
-    least = max(LEAST_NAMES, len(families) // 300)
+    for e in sorted(endings, key=lambda e: (len(e), e)):
+        if not e.endswith(tuple(chosen)):
+            chosen.append(e)
+    return tuple(chosen)
+
+
+def learn_endings(texts: list[str | None]) -> FamilyNames:
+    """The endings that at least ``LEAST_NAMES`` different family names told by their surroundings have,
+    and few other words; the shortest ones that do."""
+    families, words, small = _told(texts)
+    fine: list[str] = []
     for length in ENDING:
         held, among = Counter(w[-length:] for w in families), Counter(w[-length:] for w in words)
-        chosen += sorted(e for e, n in held.items() if len(e) == length and n >= least and n >= LEAST_SHARE * among[e] and not any(e.endswith(c) for c in chosen))
-    ordinary = {w for w, n in small.items() if n >= LEAST_NAMES and w not in families and w.endswith(tuple(chosen))} if chosen else set()
-    return FamilyNames(tuple(chosen), frozenset(ordinary))
+        fine += [e for e, n in held.items() if len(e) == length and n >= _least_names(len(families)) and n >= LEAST_SHARE * among[e]]
+    chosen = _shortest(fine)
+    ordinary = {w for w, n in small.items() if n >= LEAST_NAMES and w not in families and w.endswith(chosen)} if chosen else set()
+    return FamilyNames(chosen, frozenset(ordinary))
 
 
 _PARTICLES = re.compile(r"(?<![^\W\d_.'’-])(?:(?:van der|van den|van|von der|von|de la|de|du|af|della|di|da|dos|zu|ter|el|al|bin) )+$", re.I)
@@ -634,10 +651,39 @@ def redact(text: str | None, found: list[Span] | None = None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def learn(documents: DataFrame, key: str = "doc_id", text: str = "text", bound: int = SAMPLE_ROWS) -> FamilyNames:
-    """Endings learned from at most ``bound`` documents, chosen by a hash of their key."""
-    rows = documents.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("t is not null")
-    return learn_endings([r.t for r in bounded_sample(rows, "k", bound)[0].select("t").collect()])
+def learn(documents: DataFrame, text: str = "text") -> FamilyNames:
+    """Endings learned from all documents, as ``learn_endings`` does for a few.
+
+    The words are counted by Spark; the driver gets the endings that are chosen and the ordinary words
+    that have one. A word is ordinary at ``LEAST_NAMES`` times in ``ORDINARY_ROWS`` documents.
+    """
+
+    def run(batches):
+        for batch in batches:
+            families, words, small = _told(batch.column(0).to_pylist())
+            every = sorted(words | set(small))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(every, pa.string()), pa.array([w in families for w in every], pa.bool_()), pa.array([w in words for w in every], pa.bool_()), pa.array([small[w] for w in every], pa.int64())],
+                names=["word", "family", "known", "small"],
+            )
+
+    rows = spread(documents.select(F.col(text).alias("t")).where("t is not null"))
+    words = rows.mapInArrow(run, "word string, family boolean, known boolean, small bigint").groupBy("word").agg(F.bool_or("family").alias("family"), F.bool_or("known").alias("known"), F.sum("small").alias("small"))
+    words = materialize(words, "words")
+    least = _least_names(words.where("family").count())
+    ends = F.explode(F.array(*(F.when(F.length("word") >= n, F.right("word", F.lit(n))) for n in ENDING)))
+    held = words.where("known").select(ends.alias("e"), "family").where("e is not null").groupBy("e").agg(F.count_if("family").alias("held"), F.count("*").alias("among"))
+    # each has at least a 300th of the families: few
+    chosen = _shortest([r.e for r in held.where((F.col("held") >= least) & (F.col("held") >= LEAST_SHARE * F.col("among"))).select("e").collect()])
+    ordinary: list[str] = []
+    if chosen:
+        often = LEAST_NAMES * max(1.0, documents.where(F.col(text).isNotNull()).count() / ORDINARY_ROWS)
+        has = F.lit(False)
+        for n in ENDING:
+            has = has | F.right("word", F.lit(n)).isin([e for e in chosen if len(e) == n])
+        ordinary = [r.word for r in words.where(~F.col("family") & (F.col("small") >= often) & has).select("word").collect()]
+    discard(words)
+    return FamilyNames(chosen, frozenset(ordinary))
 
 
 def found(documents: DataFrame, key: str = "doc_id", text: str = "text", family: FamilyNames | None = None) -> DataFrame:
@@ -648,7 +694,7 @@ def found(documents: DataFrame, key: str = "doc_id", text: str = "text", family:
     an empty table gives an empty one; other columns are ignored. ``family`` is learned from the
     documents where it isn't given.
     """
-    family = family or learn(documents, key, text)
+    family = family or learn(documents, text)
 
     def run(batches):
         for batch in batches:
@@ -665,7 +711,7 @@ def found(documents: DataFrame, key: str = "doc_id", text: str = "text", family:
 
 def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", family: FamilyNames | None = None) -> DataFrame:
     """``(doc_id, text)`` with placeholders; NULL texts stay NULL."""
-    family = family or learn(documents, key, text)
+    family = family or learn(documents, text)
 
     def run(batches):
         for batch in batches:

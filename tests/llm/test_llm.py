@@ -599,3 +599,12 @@ def test_redaction_leaves_the_rest(spark):
     assert rows == sorted([(1, "email", "b@c.test"), (1, "phone", "415.555.0185")] * 2 + [(4, "email", "a@b.test")])
     assert [r.text for r in pii.redacted(frame).orderBy("doc_id").collect()][2:] == [None, "", "[EMAIL] [EMAIL]"]
     assert pii.found(frame.limit(0)).count() == 0
+
+
+def test_endings_come_from_all_documents(spark):
+    """Names of one document in four thousand count: a sample would lack some of them."""
+    given = ["brovik", "solvik", "hagvik", "norvik"]
+    rows = [(i, f"Step {i} opens the valve, then item {i % 7} is done.") for i in range(16_000)]
+    rows = [(i, f"Contact Mrs. Anna {given[i // 4_000].title()} about step {i}." if i % 4_000 == 500 else t) for i, t in rows] + [(16_000, None)]
+    known = pii.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert known.endings == pii.learn_endings([t for _, t in rows]).endings == ("vik",)
