@@ -161,9 +161,10 @@ def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
     from scriptorium.providers import overlap_score
 
     chunks, asked = materialize(corpus(s, d), "corpus"), questions(s, d)
-    hits = R.hydrate(R.bm25_topk(asked, chunks, 20), chunks).join(asked, "query_id")
-    rows = R.rerank(hits, F.round(overlap_score(F.col("query"), F.col("text")), 9))
-    return rows.select("query_id", "chunk_id", "rank", "hybrid_rank", F.col("reranker_score"))
+    # the texts come last and stay behind, so that only ids and scores are ranked
+    hits = R.hydrate(R.bm25_topk(asked, chunks, 20).join(asked, "query_id"), chunks)
+    scored = hits.select("query_id", "chunk_id", "rank", F.round(overlap_score(F.col("query"), F.col("text")), 9).alias("own_score"))
+    return R.rerank(scored, F.col("own_score")).select("query_id", "chunk_id", "rank", "hybrid_rank", "reranker_score")
 
 
 def hydrate_hits(s: SparkSession, d: str) -> DataFrame:
