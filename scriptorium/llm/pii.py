@@ -57,11 +57,17 @@ _SPELLED = {
 _DIGIT = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _BY_LETTER = "|".join(f"{c}(?:{'|'.join(w[1:] for w in sorted(_SPELLED, key=len, reverse=True) if w[0] == c)})" for c in sorted({w[0] for w in _SPELLED}))
 _DIGIT_RUN = re.compile(rf"\b(?:(?:{_BY_LETTER}|plus|\d)[ ,-]{{1,2}}){{6,}}(?:{_BY_LETTER}|\d)\b", re.I)
-#: What every run of digits with a spelled one among them holds, in lower case.
-_DIGIT_HINT = re.compile(rf"(?:{_BY_LETTER})[ ,-]{{1,2}}(?:{_BY_LETTER}|plus|\d)\b|\d[ ,-]{{1,2}}(?:{_BY_LETTER})\b")
+#: What the five inner parts of a run of digits are, in lower case.
+_DIGIT_PARTS = frozenset(_SPELLED) | frozenset("0123456789") | {"plus"}
 _DIGIT_WORD = re.compile(rf"{_DIGIT}|plus|[ ,-]+|\d", re.I)
 
 
+def _may_spell(low: str) -> bool:
+    """Whether five digits, spelled or not, stand side by side, as in every run of seven."""
+    parts = low.replace(",", " ").replace("-", " ").split()
+    return "11111" in "".join(["1" if w in _DIGIT_PARTS or (len(w) == 1 and w.isdecimal()) else "0" for w in parts])
+
+
 class Rewritten:
     """A text for detection and, for each of its characters, where the characters it stands for begin
     and end in the text as written (None: nothing was changed)."""
@@ -130,7 +136,7 @@ def rewrite(text: str) -> Rewritten:
                 dots.append((dot.start(), dot.end(), "."))
                 before = dot.start()
         plain = plain.replace(sorted(set(signs + dots)))
-    if _DIGIT_HINT.search(low) and _DIGIT_RUN.search(plain.text):
+    if _may_spell(low) and _DIGIT_RUN.search(plain.text):
         spans = []
         for run in _DIGIT_RUN.finditer(plain.text):
             if not re.search(rf"\b(?:{_DIGIT})\b", run[0], re.I):
@@ -160,11 +166,19 @@ def emails(text: str) -> list[Span]:
     if "@" not in text:
         return []
     found = []
-    for m in _EMAIL.finditer(text):
-        start = m.start()
+    at, done = text.find("@"), 0
+    while at >= 0:
+        first = at  # where the part before the sign can begin
+        while first > done and (text[first - 1].isalnum() or text[first - 1] in "_%+'.-"):
+            first -= 1
+        m = _EMAIL.search(text, first)
+        if m is None:
+            break
+        start, done = m.start(), m.end()
         while text[start] in "'-+%":
             start += 1
-        found.append(Span("email", start, m.end()))
+        found.append(Span("email", start, done))
+        at = text.find("@", done)
     return found
 
 
@@ -518,6 +532,8 @@ _REST = rf"(?:{_PARTICLE})?{_WORD}"
 _FORWARD = rf"(?:(?:{_WORD} ){{1,2}}(?:{_INITIAL})*|(?:{_INITIAL})+)(?:{_REST})"
 _FULL = rf"{_FORWARD}|{_WORD}, {_WORD}(?: [{_UPPER}]\.)*"
 _TITLED = re.compile(rf"(?<![\w.])(?:(?:Dr|Prof|Mr|Mrs|Ms|Sr|Sra|Srta|Ing)\.? |(?:Miss|Frau|Herrn?|Mme|Mlle|Madame|Monsieur|Señora?|Doña|Don|Pani?|Sir|Lady|Doctor|Docteur) )+(?P<name>{_FORWARD}|{_REST})")
+#: What every title holds.
+_TITLE_HINTS = ("Dr", "Prof", "Mr", "Ms", "Sr", "Ing", "Miss", "Frau", "Herr", "Mme", "Mlle", "Madame", "Monsieur", "Señor", "Doña", "Don", "Pan", "Sir", "Lady", "Doctor", "Docteur")
 #: What stands before names (in lower case) and behind them.
 _CUES = (
     "signed by", "signed off by", "written by", "reviewed by", "approved by", "reported by", "prepared by", "owned by", "authored by", "regards", "sincerely", "thanks to", "dear", "hello", "hi", "go to", "goes to", "escalate to", "ask", "email", "notify",
@@ -564,7 +580,8 @@ def _lower(text: str) -> str:
 
 def _cued(text: str):
     """Matches of names that are told by what stands around them, the surest first."""
-    yield from _TITLED.finditer(text)
+    if any(title in text for title in _TITLE_HINTS):
+        yield from _TITLED.finditer(text)
     low = _lower(text)
     for cue in _CUES:
         at = low.find(cue)
