@@ -312,28 +312,35 @@ _ADDRESS = re.compile(
     rf"|(?:ul\.|al\.|pl\.|os\.) {_CAP}(?: {_CAP})? \d+\w?(?:[/ ]m?\.? ?\d+)?, (?:\d\d-\d{{3}} )?{_TOWN}"
     r")"
 )
-#: What every address holds somewhere: a street word beside a number.
-_STREET_ANCHOR = re.compile(
-    r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Way|Mews|Crescent|Close|Court|Ct|Place|Square|Terrace|Parkway|Pkwy|Row|Gardens|Hill|Hollow)\b(?:[.,]| (?:Suite|Apt|Unit|Flat|Floor|#))"
-    r"|(?:straße|strasse|weg|hof|platz|allee|gasse|ring|damm|ufer| Str\.| Straße) \d"
-    r"|\d,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours|route) |(?:bis|ter),? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours|route) "
-    r"|\b(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía) |\b(?:ul|al|pl|os)\. [A-ZÀ-ÞŁŚŻŹ]"
+#: What every address holds somewhere, a street word beside a number: what a text must hold, and the pattern.
+_STREETS = (
+    (
+        ("Street", "St.", "St,", "St ", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Way", "Mews", "Crescent", "Close", "Court", "Ct", "Place", "Square", "Terrace", "Parkway", "Pkwy", "Row", "Gardens", "Hill", "Hollow"),
+        r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Way|Mews|Crescent|Close|Court|Ct|Place|Square|Terrace|Parkway|Pkwy|Row|Gardens|Hill|Hollow)\b(?:[.,]| (?:Suite|Apt|Unit|Flat|Floor|#))",
+    ),
+    (("straße ", "strasse ", "weg ", "hof ", "platz ", "allee ", "gasse ", "ring ", "damm ", "ufer ", "Str. ", "Straße "), r"(?:straße|strasse|weg|hof|platz|allee|gasse|ring|damm|ufer| Str\.| Straße) \d"),
+    (
+        (" rue ", " avenue ", " boulevard ", " place ", " allée ", " chemin ", " impasse ", " quai ", " cours ", " route "),
+        r"\d,? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours|route) |(?:bis|ter),? (?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours|route) ",
+    ),
+    (("Calle ", "C/ ", "Avda. ", "Av. ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "Travesía "), r"\b(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía) "),
+    (("ul. ", "al. ", "pl. ", "os. "), r"\b(?:ul|al|pl|os)\. [A-ZÀ-ÞŁŚŻŹ]"),
 )
+_STREET_ANCHOR = re.compile("|".join(pattern for _, pattern in _STREETS))
 
 
-_STREET_HINTS = (
-    "Street", "St.", "St,", "St ", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Way", "Mews", "Crescent", "Close", "Court", "Ct", "Place", "Square", "Terrace", "Parkway", "Pkwy", "Row", "Gardens", "Hill", "Hollow",
-    "straße ", "strasse ", "weg ", "hof ", "platz ", "allee ", "gasse ", "ring ", "damm ", "ufer ", "Str. ", "Straße ",
-    " rue ", " avenue ", " boulevard ", " place ", " allée ", " chemin ", " impasse ", " quai ", " cours ", " route ", "Calle", "C/", "Avda", "Av.", "Plaza", "Paseo", "Camino", "Ronda", "Travesía", "ul.", "al.", "pl.", "os.",
-)
+@lru_cache(maxsize=1 << len(_STREETS))
+def _street_anchor(kinds: tuple[int, ...]) -> re.Pattern[str]:
+    return re.compile("|".join(_STREETS[kind][1] for kind in kinds))
 
 
 def addresses(text: str) -> list[Span]:
     found: list[Span] = []
-    if not any(w in text for w in _STREET_HINTS):
+    kinds = tuple(kind for kind, (hints, _) in enumerate(_STREETS) if any(w in text for w in hints))
+    if not kinds:
         return found
     done = 0
-    for anchor in _STREET_ANCHOR.finditer(text):
+    for anchor in _street_anchor(kinds).finditer(text):
         if anchor.start() < done:
             continue
         low = max(done, anchor.start() - 72)
