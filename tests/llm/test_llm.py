@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, components, history, knn, mixing, near_dups, pii, qa_defects, splitter
 from scriptorium.llm.common import shingles
@@ -335,6 +337,37 @@ def test_defects_table(spark):
     assert qa_defects.found(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_defects_are_learned_from_all_rows(spark):
+    """Counts, weights and thresholds come from every row, not from a part of them."""
+    letters = [a + b for a in "bcdfg" for b in "aeiou"]
+    words = [f"zu{letters[i // 25 % 25]}{letters[i % 25]}" for i in range(240)]
+    rows = [(f"c{i}", q, "answerable", f"The {words[i]} holds. {a} It needs {words[i]} here.", f) for i, (q, a, f) in enumerate(made_cases(240))]
+    table = spark.createDataFrame(rows, "id string, question string, answerability string, expected_answer string, expected_facts array<string>")
+    detector = qa_defects.train(table.unionAll(table.withColumn("id", F.concat("id", F.lit("b")))), 60)
+    assert all(w in detector.profile.rare and w in detector.profile.known for w in words)
+    slots = [qa_defects._slot(f"{qa_defects.question_language(r[1])}f:{w}") for r, w in zip(rows, words, strict=True)]
+    assert np.any(detector.weights[slots] != 0, axis=1).mean() > 0.9  # both copies of a row may be held out
+    again = qa_defects.train(table.unionAll(table.withColumn("id", F.concat("id", F.lit("b")))).repartition(5), 60)
+    assert np.array_equal(again.weights, detector.weights) and np.array_equal(again.thresholds, detector.thresholds)
+
+
+def test_single_words_shared_with_another_language_are_no_refusal():
+    assert qa_defects._own_words("What is the limit?", "Jeśli kolejka przed wysyłką urośnie do progu, należy odczekać pół godziny.") < qa_defects.OWN
+    assert qa_defects._own_words("What is the limit?", "I cannot say anything about that.") >= qa_defects.OWN
+    assert qa_defects._own_words(None, "I do") == qa_defects._own_words("What is it?", None) == 0
+
+
+def test_held_out_scores_of_all_shards_set_the_thresholds():
+    counts = {(2, True, step): 1 for step in range(1_000, 1_100)} | {(2, False, step): 10 for step in range(-200, -100)}
+    assert -100 <= qa_defects._thresholds(counts)[2] * qa_defects.SCORE_STEPS <= 1_000
+    assert not qa_defects._thresholds({(2, True, 5): 3}).any()
+
+
+def test_shards_come_whole_or_in_pieces():
+    batches = [pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), *(pa.array([f"{c}{x}" for x in s]) for c in "qaf")], names=["shard", "q", "a", "f"]) for s in ([0, 0, 2], [2, 2, 2], [5])]
+    got = [(shard, len(rows)) for shard, rows in qa_defects._shards(batches, 3)]
+    assert got == [(0, 2), (2, 3), (2, 1), (5, 1)]
+
 # -- 4 -------------------------------------------------------------------------------------------
 
 
